@@ -1,0 +1,21 @@
+"""Small-side joins whose size is checked before anything is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A lookup of at most this many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def bounded_lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcastable local relation if it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    Reads at most ``max_rows + 1`` rows to the driver. The local form is computed once, so a plan that joins the
+    lookup does not run its aggregation again. The unchanged form joins by shuffle, with AQE splitting hot keys.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -1,0 +1,17 @@
+"""Parallelism of CPU-heavy stages over input with few splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions by key if the scan gives fewer tasks than there are cores, else leaves the plan alone.
+
+    Pattern matching and tokenising cost far more than moving the text once, and a small file is a single split. Large
+    input has more splits than cores and is never shuffled here. Hashing by key keeps a retried task repeatable.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
