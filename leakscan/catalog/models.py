@@ -8,21 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.catalog.pii import ORACLES as PII_ORACLES
-from leakscan.catalog.synthesis import incidents
+from leakscan.catalog.synthesis import incidents as make_incidents
 from leakscan.catalog.tables import joined, requests
 from leakscan.functions.records import preview
 from leakscan.plans import models as M
 from leakscan.plans.features import FeatureConfig
 from leakscan.plans.scoring import score_file, score_incidents
-from leakscan.session import work_path
+from leakscan.session import materialise, work_path
 from leakscan.sources.files import read_csv, write_csv, write_parquet
 from leakscan.streaming.score import scan_stream, score_stream
 
 KEY = "o_orderkey"
-# One trained model per session and data folder: several queries look at the same one.
+# One incident table and one trained model per session and data folder: several queries look at the same ones.
+_INCIDENTS: dict[tuple[str, str], DataFrame] = {}
 _TRAINED: dict[tuple[str, str], M.LeakModel] = {}
 
 
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incident table derived from the orders, written once: training reads it many times."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INCIDENTS:
+        _INCIDENTS[at] = materialise(make_incidents(spark, sf_dir), "incidents")
+    return _INCIDENTS[at]
+
+
 def _model(spark: SparkSession, sf_dir: str) -> M.LeakModel:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _TRAINED:
@@ -42,7 +51,7 @@ def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class reports of both targets over the scored table."""
-    tables = M.evaluate(spark, _model(spark, sf_dir), incidents(spark, sf_dir)).tables
+    tables = M.evaluate(spark, _model(spark, sf_dir), incidents(spark, sf_dir))
     reports = [parts["report"].withColumn("target", F.lit(target)) for target, parts in tables.items()]
     return reduce(DataFrame.unionByName, reports)
 

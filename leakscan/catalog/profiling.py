@@ -11,6 +11,7 @@ from leakscan.functions.rules import rule_set
 from leakscan.operators import profile
 from leakscan.operators.findings import with_pii
 from leakscan.operators.sampling import sample_n
+from leakscan.session import materialise
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -57,7 +58,8 @@ def cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches per document by severity, classes in fixed order."""
     found = with_pii(documents(spark, sf_dir), "text", "extended").select("doc_id", F.col("pii.pii_count").alias("pii_count"))
-    both = labelled(spark, sf_dir).select("doc_id", "severity").join(found, "doc_id")
+    both = labelled(spark, sf_dir).select("doc_id", "severity").join(found, "doc_id").select("severity", "pii_count")
+    both = materialise(both, "matches")  # three passes follow; the rules run once
     out = profile.group_stats(both, "severity", "pii_count", RISK_LEVELS)
     out = out.withColumns({"position": F.col("position").cast("long"), "max": F.col("max").cast("long")})
     return _rounded(out, "mean", "median")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.draws import draw
 from leakscan.plans.lookup import BROADCAST_ROWS, bounded_lookup
+from leakscan.session import materialise
 
 UNKNOWN_VALUE = "unknown"
 UNSEEN_CODE = -1
@@ -26,7 +27,7 @@ def fit_codes(df: DataFrame, col: str, max_local: int = BROADCAST_ROWS) -> DataF
         # Code-point order is the order of the UTF-8 bytes, which is also Spark's string order.
         ordered = sorted((r.value for r in rows), key=lambda v: v.encode("utf-8"))
         return spark.createDataFrame([(v, i) for i, v in enumerate(ordered)], "value string, code int")
-    return _number_ranges(values)
+    return _number_ranges(materialise(values, "values"))
 
 
 def _number_ranges(values: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakscan.functions.vector import similarity
+from leakscan.plans.parallel import spread
 
 MAX_QUERY_BYTES = 64 << 20
 _BATCH_ROWS = 4096
@@ -121,7 +122,7 @@ def _scan_corpus(corpus: DataFrame, queries: DataFrame, k: int, schema: T.Struct
         if best is not None:
             yield pd.DataFrame({"query_id": query_ids[best[0]], "id": best[1], "distance": best[2]})
 
-    return corpus.mapInPandas(scan, schema)
+    return spread(corpus, "id").mapInPandas(scan, schema)
 
 
 def _block_pairs(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -52,11 +55,22 @@ def vector_stats(df: DataFrame, vector: str = "embedding", metadata: str | None
     )
 
 
-def kmeans_model(df: DataFrame, k: int = 10, seed: int = 42, n_init: int = 10, vector: str = "embedding"):
-    """The k-means model of lowest cost among ``n_init`` starts with consecutive seeds."""
+def kmeans_model(
+    df: DataFrame, k: int = 10, seed: int = 42, n_init: int = 10, vector: str = "embedding", parallelism: int = 4
+) -> KMeansModel:
+    """The k-means model of lowest cost among ``n_init`` starts with consecutive seeds.
+
+    Starts are independent, so several run at once over the same persisted vectors.
+    """
     data = df.select(array_to_vector(F.col(vector)).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(start: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster").fit(data)
+
     try:
-        models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data) for i in range(n_init)]
+        data.count()
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_init)))
     finally:
         data.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)

@@ -85,11 +85,14 @@ class TfIdf:
         return out.drop(terms, counted, scaled)
 
     def long(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """``(id, term, weight)`` of the non-zero weights; read off the vector, so nothing is shuffled."""
+        """``(id, term, weight)`` of the non-zero weights; read off the vector, so nothing is shuffled.
+
+        The outer form of explode keeps Catalyst from adding a filter on the vector, which would compute it again.
+        """
         names = F.array(*[F.lit(t) for t in self.terms])
         weights = self.transform(df, text_col).select(id_col, vector_to_array("tfidf").alias("w"))
         return (
-            weights.select(id_col, F.posexplode("w").alias("pos", "weight"))
+            weights.select(id_col, F.posexplode_outer("w").alias("pos", "weight"))
             .filter(F.col("weight") > 0)
             .select(id_col, F.get(names, F.col("pos")).alias("term"), "weight")
         )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -16,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from leakscan.operators.metrics import accuracy, class_report, confusion, macro_scores
 from leakscan.operators.sampling import class_weights, stratified_split, with_weight
 from leakscan.plans.features import FeatureConfig, FeatureExtractor, FeatureModel
+from leakscan.session import materialise
 
 DEFAULT_TARGETS = {"incident_type": "incident_type", "severity": "severity"}
 PREDICTED = {"incident_type": "predicted_incident_type", "severity": "predicted_severity"}
@@ -108,13 +111,13 @@ def train(
     columns = list(dict.fromkeys(targets.values()))
     prepared = features.transform(training).select(*columns, "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = LeakModel(
-            features,
-            train_type(prepared, targets["incident_type"], params),
-            train_severity(prepared, targets["severity"], params),
-            params=params,
-        )
         train_size = prepared.count()
+        # The two fits share the persisted features and nothing else, so they run side by side.
+        run = inheritable_thread_target(df.sparkSession)
+        with ThreadPoolExecutor(2) as pool:
+            kind = pool.submit(run(train_type), prepared, targets["incident_type"], params)
+            level = pool.submit(run(train_severity), prepared, targets["severity"], params)
+            model = LeakModel(features, kind.result(), level.result(), params=params)
     finally:
         prepared.unpersist()
 
@@ -168,22 +171,16 @@ def model_info(spark: SparkSession, model: LeakModel) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, value string")
 
 
-@dataclass
-class Evaluation:
-    """Metric tables of both targets over one persisted scored table; call ``close`` when done."""
-
-    scored: DataFrame
-    tables: dict[str, dict[str, DataFrame]]
-
-    def close(self) -> None:
-        self.scored.unpersist()
-
+def evaluate(
+    spark: SparkSession, model: LeakModel, df: DataFrame, targets: dict[str, str] | None = None
+) -> dict[str, dict[str, DataFrame]]:
+    """Per target: accuracy, macro scores, confusion matrix, class report and importances.
 
-def evaluate(spark: SparkSession, model: LeakModel, df: DataFrame, targets: dict[str, str] | None = None) -> Evaluation:
-    """Accuracy, macro scores, confusion matrix, class report and importances per target."""
+    The rows are scored once into a narrow table of classes that all metrics read.
+    """
     targets = check_targets(df, targets)
     columns = [*dict.fromkeys(targets.values()), *PREDICTED.values()]
-    scored = score(df, model).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = materialise(score(df, model).select(*columns), "evaluated")
     tables = {}
     for target, actual in targets.items():
         predicted = PREDICTED[target]
@@ -194,7 +191,7 @@ def evaluate(spark: SparkSession, model: LeakModel, df: DataFrame, targets: dict
             "report": class_report(scored, actual, predicted),
             "importance": top_importance(spark, model, target),
         }
-    return Evaluation(scored, tables)
+    return tables
 
 
 def save_model(spark: SparkSession, model: LeakModel, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.operators.neighbours import nearest
 from leakscan.operators.vectors import DIMENSION, embed_text
+from leakscan.plans.lookup import bounded_lookup
 from leakscan.sources.vectors import save_vectors
 
 
@@ -18,10 +19,14 @@ def build_index(df: DataFrame, text_col: str, path: str, dim: int = DIMENSION) -
 def similar_vectors(
     corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", query_id: str = "query_id", vector: str = "embedding"
 ) -> DataFrame:
-    """Neighbours of each query vector with all corpus columns, distance, similarity and rank."""
-    hits = nearest(corpus, queries, k, id_col, query_id, vector).withColumnRenamed("id", "_hit")
+    """Neighbours of each query vector with all corpus columns, distance, similarity and rank.
+
+    The hits, k per query, are looked up from the corpus side: while they are few they are broadcast and the corpus is
+    filtered where it lies.
+    """
+    hits = bounded_lookup(nearest(corpus, queries, k, id_col, query_id, vector).withColumnRenamed("id", "_hit"))
     metadata = corpus.drop(vector)
-    return hits.join(metadata, F.col("_hit") == F.col(id_col)).drop("_hit")
+    return metadata.join(hits, F.col("_hit") == F.col(id_col)).drop("_hit")
 
 
 def find_similar(

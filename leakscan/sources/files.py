@@ -35,7 +35,7 @@ INCIDENT_SCHEMA = T.StructType(
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """CSV with a header. Give a schema for large input: without one the types cost a pass over the files.
+    """CSV with a header; an empty field is null. Give a schema for large input: without one the types cost a pass.
 
     ``multiLine`` keeps quoted line breaks but makes a file one split; pass ``multiLine=False`` where no field has one.
     """
