@@ -39,9 +39,13 @@ def accent_tables() -> tuple[str, str]:
 
 
 def normalise(col: Column) -> Column:
-    """Lower case without accents (``Ё`` → ``е``, ``é`` → ``e``); null becomes empty."""
+    """Lower case without accents (``Ё`` → ``е``, ``é`` → ``e``); null becomes empty.
+
+    Text with as many bytes as characters is ASCII and has nothing to strip.
+    """
     source, target = accent_tables()
-    return F.translate(F.lower(text_or_empty(col)), source, target)
+    lowered = F.lower(text_or_empty(col))
+    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(F.translate(lowered, source, target))
 
 
 def tokens(normalised: Column) -> Column:

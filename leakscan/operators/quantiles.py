@@ -1,14 +1,16 @@
 """Exact quantiles of large groups without holding a group in one task.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here a bounded sketch brackets each
-quantile, one aggregation counts what lies below the bracket, and only the distinct values inside it are ranked.
+quantile, one aggregation counts what lies outside the brackets, and only the distinct values inside them are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.plans.lookup import bounded_lookup
@@ -17,65 +19,74 @@ from leakscan.plans.lookup import bounded_lookup
 # ranks from p * n, interpolation from p * (n - 1): on small groups, where the sketch is exact, a rank can thus fall one
 # place outside the bracket, which is why the nearest value on either side is kept.
 ACCURACY = 50_000
-
-
-def _long(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """``(by..., column, value)`` without nulls."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    exploded = df.select(*by, F.explode(pairs).alias("p"))
-    return exploded.select(*by, F.col("p.column"), F.col("p.value")).filter(F.col("value").isNotNull())
+# Columns per pass, to keep the aggregations within generated code.
+_COLUMNS_PER_PASS = 8
 
 
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
 ) -> DataFrame:
-    """``(by..., column, q, value)`` with linear interpolation between the two nearest ranks."""
-    key = [*by, "column"]
-    values = _long(df, by, cols)
-    margin = 4.0 / accuracy
-    edges = [max(q - margin, 0.0) for q in probabilities] + [min(q + margin, 1.0) for q in probabilities]
-    nq = len(probabilities)
+    """``(by..., column, q, value)`` with linear interpolation between the two nearest ranks; nulls do not count."""
+    passes = [cols[i : i + _COLUMNS_PER_PASS] for i in range(0, len(cols), _COLUMNS_PER_PASS)]
+    return reduce(DataFrame.unionAll, (_one_pass(df, part, probabilities, by, accuracy) for part in passes))
 
-    sketch = values.groupBy(*key).agg(
-        F.percentile_approx("value", [float(e) for e in edges], accuracy).alias("edges"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    brackets = bounded_lookup(sketch)
-    renamed = brackets.select(*[F.col(k).alias(f"_{k}") for k in key], "edges", "n")
-    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    bracketed = values.join(renamed, same_key).select(*key, "value", "edges", "n")
 
-    per_q = F.array(
-        *[
-            F.struct(
-                F.lit(float(q)).alias("q"),
-                F.get("edges", F.lit(i)).alias("low"),
-                F.get("edges", F.lit(nq + i)).alias("high"),
+def _with_brackets(values: DataFrame, sketch: DataFrame, edges: list[str], by: Sequence[str]) -> DataFrame:
+    """The values next to the bracket edges of their group: literals without groups, else a size-checked join."""
+    if not by:
+        row = sketch.first()
+        return values.withColumns({e: F.lit(row[e]).cast("array<double>") for e in edges})
+    lookup = bounded_lookup(sketch.select(*[F.col(b).alias(f"_{b}") for b in by], *edges))
+    return values.join(lookup, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]).select(*values.columns, *edges)
+
+
+def _one_pass(
+    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], by: Sequence[str], accuracy: int
+) -> DataFrame:
+    margin, nq = 4.0 / accuracy, len(probabilities)
+    asked = [max(q - margin, 0.0) for q in probabilities] + [min(q + margin, 1.0) for q in probabilities]
+    names, edges = [f"v{i}" for i in range(len(cols))], [f"e{i}" for i in range(len(cols))]
+    values = df.select(*by, *[F.col(c).cast("double").alias(v) for c, v in zip(cols, names)])
+    sketch = values.groupBy(*by).agg(*[F.percentile_approx(v, asked, accuracy).alias(e) for v, e in zip(names, edges)])
+    placed = _with_brackets(values, sketch, edges, by)
+
+    outside_aggs: list[Column] = []
+    outside_rows: list[Column] = []
+    inside: list[Column] = []
+    inside_rows: list[Column] = []
+    for i, column in enumerate(cols):
+        value = F.col(names[i])
+        for j, q in enumerate(probabilities):
+            low, high = F.get(edges[i], F.lit(j)), F.get(edges[i], F.lit(nq + j))
+            tag = f"{i}_{j}"
+            row = lambda side, v, c, column=column, q=q: F.struct(
+                F.lit(column).alias("column"), F.lit(float(q)).alias("q"), F.lit(side).alias("side"), v.alias("value"), c.alias("c")
             )
-            for i, q in enumerate(probabilities)
-        ]
-    )
-    # Values outside a bracket collapse to one row per side (the value nearest to it); values inside keep their own row.
-    placed = bracketed.select(*key, "value", "n", F.explode(per_q).alias("b")).select(
-        *key,
-        "n",
-        F.col("b.q").alias("q"),
-        "value",
-        F.when(F.col("value") < F.col("b.low"), -1).when(F.col("value") > F.col("b.high"), 1).otherwise(0).alias("side"),
-    )
-    counted = placed.groupBy(
-        *key, "q", "n", "side", F.when(F.col("side") == 0, F.col("value")).alias("inside")
-    ).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.when(F.col("side") < 0, F.max("value")).otherwise(F.min("value")).alias("value"),
-    )
-    ordered = Window.partitionBy(*key, "q").orderBy("side", "value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("c").over(ordered))
+            outside_aggs += [
+                F.count_if(value < low).alias(f"nb{tag}"),
+                F.max(F.when(value < low, value)).alias(f"vb{tag}"),
+                F.count_if(value > high).alias(f"na{tag}"),
+                F.min(F.when(value > high, value)).alias(f"va{tag}"),
+            ]
+            outside_rows += [row(-1, F.col(f"vb{tag}"), F.col(f"nb{tag}")), row(1, F.col(f"va{tag}"), F.col(f"na{tag}"))]
+            within = value.between(low, high)
+            inside.append(within)
+            inside_rows.append(F.when(within, row(0, value, F.lit(1).cast("long"))))
+
+    outer = placed.groupBy(*by).agg(*outside_aggs).select(*by, F.explode(F.array(*outside_rows)).alias("r"))
+    outer = outer.select(*by, "r.*").filter(F.col("c") > 0)
+    inner = placed.filter(reduce(or_, inside)).select(*by, F.explode(F.array_compact(F.array(*inside_rows))).alias("r"))
+    inner = inner.select(*by, "r.*").groupBy(*by, "column", "q", "side", "value").agg(F.sum("c").alias("c"))
+
+    key = [*by, "column", "q"]
+    per_key = Window.partitionBy(*key)
+    running = per_key.orderBy("side", "value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = outer.unionByName(inner).withColumns({"upto": F.sum("c").over(running), "n": F.sum("c").over(per_key)})
     position = F.col("q") * (F.col("n") - 1)
     holds = lambda rank: (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
-    picked = ranked.groupBy(*key, "q", "n").agg(
+    picked = ranked.groupBy(*key, "n").agg(
         F.max(F.when(holds(F.floor(position)), F.col("value"))).alias("lower"),
         F.max(F.when(holds(F.ceil(position)), F.col("value"))).alias("upper"),
     )
     fraction = position - F.floor(position)
-    return picked.select(*key, "q", (F.col("lower") + (F.col("upper") - F.col("lower")) * fraction).alias("value"))
+    return picked.select(*key, (F.col("lower") + (F.col("upper") - F.col("lower")) * fraction).alias("value"))

@@ -19,27 +19,71 @@ def with_terms(df: DataFrame, text_col: str, low: int = 1, high: int = 2, into:
     )
 
 
-def term_counts(df: DataFrame, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
-    """``(term, df, tf)``: documents holding the term and its total count.
+# Above this many frequent words the pruning of fit_vocabulary gives way to plain counting.
+MAX_FREQUENT_WORDS = 20_000
+
+
+def _count_terms(df: DataFrame, terms: str) -> DataFrame:
+    """``(term, df, tf)`` over a column of term arrays.
 
     Each document gives its terms once as they are and once without repeats, in one scan. One exchange on the term,
     after partial aggregation, then yields both counts: no (term, document) pair is shuffled.
     """
-    terms = with_terms(df, text_col, low, high).select("terms")
     lists = F.array(
-        F.struct(F.lit(0).alias("once"), F.col("terms").alias("terms")),
-        F.struct(F.lit(1).alias("once"), F.array_distinct("terms").alias("terms")),
+        F.struct(F.lit(0).alias("once"), F.col(terms).alias("terms")),
+        F.struct(F.lit(1).alias("once"), F.array_distinct(terms).alias("terms")),
     )
-    exploded = terms.select(F.explode(lists).alias("l")).select(F.col("l.once"), F.explode("l.terms").alias("term"))
+    exploded = df.select(F.explode(lists).alias("l")).select(F.col("l.once"), F.explode("l.terms").alias("term"))
     return exploded.groupBy("term").agg(F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("tf"))
 
 
+def term_counts(df: DataFrame, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
+    """``(term, df, tf)``: number of documents holding the term and its total count."""
+    return _count_terms(with_terms(df, text_col, low, high).select("terms"), "terms")
+
+
 def fit_vocabulary(
-    df: DataFrame, text_col: str, max_terms: int = 100, min_df: int = 2, low: int = 1, high: int = 2
+    df: DataFrame,
+    text_col: str,
+    max_terms: int = 100,
+    min_df: int = 2,
+    low: int = 1,
+    high: int = 2,
+    max_frequent: int = MAX_FREQUENT_WORDS,
 ) -> DataFrame:
-    """The ``max_terms`` most frequent terms found in at least ``min_df`` documents; ties go to the smaller term."""
-    counts = term_counts(df, text_col, low, high).filter(F.col("df") >= min_df)
-    return counts.orderBy(F.desc("tf"), "term").limit(max_terms)
+    """The ``max_terms`` most frequent terms found in at least ``min_df`` documents; ties go to the smaller term.
+
+    With single words in the vocabulary, longer terms are pruned before they are counted: a term is never more frequent
+    than any word in it, so one that makes the cut consists of words that reach the count of the last word within it.
+    Only such terms are shuffled. The result is the same as counting all of them.
+    """
+    columns = ("term", "df", "tf")
+    if low > 1 or high == 1:
+        return _top(term_counts(df, text_col, low, high).filter(F.col("df") >= min_df), max_terms)
+
+    words = term_counts(df, text_col, 1, 1).filter(F.col("df") >= min_df)
+    # One row more than the cut, so that ties with its last word show.
+    top = words.orderBy(F.desc("tf"), "term").limit(max(max_terms, max_frequent) + 1).collect()
+    least = top[max_terms - 1]["tf"] if len(top) >= max_terms else 0
+    frequent = [r for r in top if r["tf"] >= least]
+    if len(frequent) > max_frequent:
+        return _top(term_counts(df, text_col, low, high).filter(F.col("df") >= min_df), max_terms)
+    if not frequent:
+        return words
+    spark = df.sparkSession
+    singles = spark.createDataFrame([(r["term"], r["df"], r["tf"]) for r in frequent[:max_terms]], "term string, df long, tf long")
+    known = [r["term"] for r in frequent]
+    kept = df.select(tokens(normalise(F.col(text_col))).alias("words")).select(
+        F.transform("words", lambda w: F.when(w.isin(known), w)).alias("words")
+    )
+    # A term with a word that was blanked out is null and drops out.
+    longer = kept.select(F.array_compact(ngrams(F.col("words"), 2, high)).alias("terms"))
+    counted = _count_terms(longer, "terms").filter(F.col("df") >= min_df)
+    return _top(singles.select(*columns).unionByName(counted.select(*columns)), max_terms)
+
+
+def _top(counts: DataFrame, n: int) -> DataFrame:
+    return counts.orderBy(F.desc("tf"), "term").limit(n)
 
 
 def idf(document_frequency: Column, documents: Column) -> Column:

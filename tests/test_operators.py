@@ -19,7 +19,7 @@ from leakscan.operators.neighbours import nearest
 from leakscan.operators.quantiles import exact_quantiles
 from leakscan.operators.records import head, validate
 from leakscan.operators.sampling import sample_n, stratified_split
-from leakscan.operators.vocabulary import TfIdf, fit_vocabulary
+from leakscan.operators.vocabulary import TfIdf, fit_vocabulary, term_counts
 from leakscan.plans.lookup import bounded_lookup
 from leakscan.plans.parallel import spread
 
@@ -60,6 +60,16 @@ def test_vocabulary_and_weights_equal_the_formula(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("max_terms, max_frequent", [(5, 100), (5, 2), (30, 100), (500, 1000)])
+def test_pruned_vocabulary_equals_full_count(spark, max_terms, max_frequent):
+    rng = np.random.default_rng(3)
+    words = [f"w{int(i):02d}" for i in rng.zipf(1.6, 1500) % 40]
+    df = spark.createDataFrame([(" ".join(words[i : i + 25]),) for i in range(0, 1500, 25)], "t string")
+    full = term_counts(df, "t").filter("df >= 2").orderBy(F.desc("tf"), "term").limit(max_terms)
+    pruned = fit_vocabulary(df, "t", max_terms, max_frequent=max_frequent)
+    assert [tuple(r) for r in pruned.orderBy(F.desc("tf"), "term").collect()] == [tuple(r) for r in full.collect()]
+
+
 def test_vocabulary_needs_repeated_terms(spark):
     with pytest.raises(ValueError):
         TfIdf.fit(spark.createDataFrame([("one",), ("two",)], "t string"), "t")
