@@ -43,6 +43,7 @@ HEADLINE = [
     "synth_enhanced",
     "train_score",
     "evaluate_model",
+    "score_requests",
     "stream_scan",
 ]
 

@@ -12,7 +12,7 @@ from leakscan.functions.rules import rule_set
 from leakscan.operators.findings import pii_findings, with_pii
 from leakscan.operators.profile import pii_prevalence
 from leakscan.operators.records import errors, head, select_like, where_class, with_reject_reason
-from leakscan.plans.parallel import spread
+from leakscan.operators.parallel import spread
 from leakscan.plans.scoring import scan_messages
 
 

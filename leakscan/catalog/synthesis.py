@@ -9,7 +9,7 @@ from leakscan.catalog.tables import SEED, documents, draw_sql, joined, table
 from leakscan.functions.detect import MATCH_FIELDS
 from leakscan.operators import synth
 from leakscan.operators.findings import with_pii
-from leakscan.plans.parallel import spread
+from leakscan.operators.parallel import spread
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.detect import text_or_empty
 from leakscan.operators.findings import with_pii
-from leakscan.plans.parallel import spread
+from leakscan.operators.parallel import spread
 
 SEED = 42
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from leakscan.catalog.tables import SEED, documents, table
 from leakscan.functions.vector import cosine
+from leakscan.operators import neighbours
 from leakscan.operators import vectors as V
-from leakscan.operators.neighbours import nearest
 from leakscan.plans.similarity import build_index, find_similar, similar_vectors
 from leakscan.session import work_path
 from leakscan.sources.vectors import load_vectors, save_vectors
@@ -23,7 +23,7 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors of every vector of the table."""
     e = _embeddings(spark, sf_dir)
-    hits = nearest(e, e.withColumnRenamed("vec_id", "query_id"), K, "vec_id")
+    hits = neighbours.knn(e, e.withColumnRenamed("vec_id", "query_id"), K, "vec_id")
     return hits.select(
         "query_id",
         "id",

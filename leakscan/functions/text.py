@@ -24,13 +24,12 @@ def accent_tables() -> tuple[str, str]:
     characters (ligatures, fractions, Hangul syllables) are left as they are.
     """
     source, target, marks = [], [], []
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000:
-            continue
-        char = chr(code)
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
         if unicodedata.combining(char):
             marks.append(char)
             continue
+        if not unicodedata.decomposition(char):
+            continue
         base = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
         if len(base) == 1 and base[0] != char:
             source.append(char)

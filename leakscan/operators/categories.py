@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.functions.draws import draw
-from leakscan.plans.lookup import BROADCAST_ROWS, bounded_lookup
+from leakscan.operators.lookup import BROADCAST_ROWS, bounded_lookup
 from leakscan.session import materialise
 
 UNKNOWN_VALUE = "unknown"

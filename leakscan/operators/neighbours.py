@@ -13,13 +13,14 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from leakscan.functions.vector import similarity
-from leakscan.plans.parallel import spread
+from leakscan.operators.parallel import spread
 
 MAX_QUERY_BYTES = 64 << 20
 _BATCH_ROWS = 4096
@@ -34,6 +35,8 @@ def _best_keeper(k: int) -> Callable:
 
     def keep(query_vectors, best, ids, vectors):
         """``best`` is None or three aligned arrays: query position, corpus id, distance."""
+        if vectors.shape[1] != query_vectors.shape[1]:
+            raise ValueError(f"corpus vectors of width {vectors.shape[1]}, query vectors of width {query_vectors.shape[1]}")
         found_q, found_id, found_d = ([], [], []) if best is None else ([best[0]], [best[1]], [best[2]])
         n_queries = len(query_vectors)
         kth = np.full(n_queries, np.inf)
@@ -71,11 +74,31 @@ def _best_keeper(k: int) -> Callable:
     return keep
 
 
+def _reader() -> Callable:
+    """A function that takes ids and vectors of an Arrow table or batch as arrays; a closure, as above."""
+
+    def read(batch, id_col):
+        import pyarrow as pa
+
+        table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+        ids = table.column(id_col).to_numpy()
+        if ids.dtype == object:
+            ids = ids.astype(str)
+        lists = table.column("v").combine_chunks()
+        flat = np.asarray(lists.flatten(), dtype=np.float64)
+        width = len(flat) // len(ids) if len(ids) else 0
+        if len(ids) and not (lists.value_lengths().to_numpy() == width).all():
+            raise ValueError("vectors of different widths in one table")
+        return ids, flat.reshape(len(ids), width)
+
+    return read
+
+
 def _field(df: DataFrame, name: str, alias: str) -> T.StructField:
     return T.StructField(alias, df.schema[name].dataType)
 
 
-def nearest(
+def knn(
     corpus: DataFrame,
     queries: DataFrame,
     k: int = 5,
@@ -106,23 +129,24 @@ def nearest(
 
 
 def _scan_corpus(corpus: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    rows = queries.collect()  # within max_query_bytes
     context = corpus.sparkSession.sparkContext
-    query_ids = np.array([r["query_id"] for r in rows])
-    matrix = context.broadcast(np.array([r["v"] for r in rows], dtype=np.float64))
-    keep = _best_keeper(k)
+    keep, read = _best_keeper(k), _reader()
+    query_ids, vectors = read(queries.toArrow(), "query_id")  # within max_query_bytes
+    asked = context.broadcast((query_ids, vectors))
+    layout = to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, query_vectors = asked.value
         best = None
-        for pdf in batches:
-            for start in range(0, len(pdf), _BATCH_ROWS):
-                part = pdf.iloc[start : start + _BATCH_ROWS]
-                vectors = np.stack(part["v"].to_numpy()).astype(np.float64)
-                best = keep(matrix.value, best, part["id"].to_numpy(), vectors)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _BATCH_ROWS):
+                ids, vectors = read(batch.slice(start, _BATCH_ROWS), "id")
+                best = keep(query_vectors, best, ids, vectors)
         if best is not None:
-            yield pd.DataFrame({"query_id": query_ids[best[0]], "id": best[1], "distance": best[2]})
+            columns = (query_ids[best[0]], best[1], best[2])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, layout)], schema=layout)
 
-    return spread(corpus, "id").mapInPandas(scan, schema)
+    return spread(corpus, "id").mapInArrow(scan, schema)
 
 
 def _block_pairs(
@@ -138,18 +162,17 @@ def _block_pairs(
     right = corpus.withColumn("cb", block("id", corpus_blocks)).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
-    keep = _best_keeper(k)
+    keep, read = _best_keeper(k), _reader()
+    layout = to_arrow_schema(schema)
 
-    def meet(query_pdf: pd.DataFrame, corpus_pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
         best = None
-        if len(query_pdf) and len(corpus_pdf):
-            matrix = np.stack(query_pdf["v"].to_numpy()).astype(np.float64)
-            for start in range(0, len(corpus_pdf), _BATCH_ROWS):
-                part = corpus_pdf.iloc[start : start + _BATCH_ROWS]
-                vectors = np.stack(part["v"].to_numpy()).astype(np.float64)
-                best = keep(matrix, best, part["id"].to_numpy(), vectors)
-        if best is None:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        return pd.DataFrame({"query_id": query_pdf["query_id"].to_numpy()[best[0]], "id": best[1], "distance": best[2]})
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
+        if asked.num_rows and stored.num_rows:
+            query_ids, query_vectors = read(asked, "query_id")
+            for start in range(0, stored.num_rows, _BATCH_ROWS):
+                ids, vectors = read(stored.slice(start, _BATCH_ROWS), "id")
+                best = keep(query_vectors, best, ids, vectors)
+        columns = ([], [], []) if best is None else (query_ids[best[0]], best[1], best[2])
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, layout)], schema=layout)
+
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)

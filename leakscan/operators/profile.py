@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from leakscan.functions.temporal import DAY_NAMES
 from leakscan.operators.quantiles import exact_quantiles
-from leakscan.plans.lookup import bounded_lookup
+from leakscan.operators.lookup import bounded_lookup
 
 # The band in which a class of four counts as balanced, and the ratio from which imbalance is reported.
 BALANCED_PERCENT = (20, 30)

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscan.plans.lookup import bounded_lookup
+from leakscan.operators.lookup import bounded_lookup
 
 # The sketch errs by at most 1/ACCURACY of the rows; the bracket is four times as wide on either side. The sketch counts
 # ranks from p * n, interpolation from p * (n - 1): on small groups, where the sketch is exact, a rank can thus fall one
@@ -50,33 +49,28 @@ def _one_pass(
     sketch = values.groupBy(*by).agg(*[F.percentile_approx(v, asked, accuracy).alias(e) for v, e in zip(names, edges)])
     placed = _with_brackets(values, sketch, edges, by)
 
-    outside_aggs: list[Column] = []
-    outside_rows: list[Column] = []
-    inside: list[Column] = []
-    inside_rows: list[Column] = []
+    # SQL text rather than column objects: there are a dozen expressions per column and quantile.
+    outside_aggs, outside_rows, inside, inside_rows = [], [], [], []
     for i, column in enumerate(cols):
-        value = F.col(names[i])
+        v, name = names[i], column.replace("\\", "\\\\").replace("'", "\\'")
         for j, q in enumerate(probabilities):
-            low, high = F.get(edges[i], F.lit(j)), F.get(edges[i], F.lit(nq + j))
-            tag = f"{i}_{j}"
-            row = lambda side, v, c, column=column, q=q: F.struct(
-                F.lit(column).alias("column"), F.lit(float(q)).alias("q"), F.lit(side).alias("side"), v.alias("value"), c.alias("c")
-            )
+            low, high, tag = f"{edges[i]}[{j}]", f"{edges[i]}[{nq + j}]", f"{i}_{j}"
+            row = f"named_struct('column', '{name}', 'q', {float(q)!r}D, 'side', %d, 'value', %s, 'c', %s)"
             outside_aggs += [
-                F.count_if(value < low).alias(f"nb{tag}"),
-                F.max(F.when(value < low, value)).alias(f"vb{tag}"),
-                F.count_if(value > high).alias(f"na{tag}"),
-                F.min(F.when(value > high, value)).alias(f"va{tag}"),
+                f"count_if({v} < {low}) AS below{tag}",
+                f"max(CASE WHEN {v} < {low} THEN {v} END) AS under{tag}",
+                f"count_if({v} > {high}) AS above{tag}",
+                f"min(CASE WHEN {v} > {high} THEN {v} END) AS over{tag}",
             ]
-            outside_rows += [row(-1, F.col(f"vb{tag}"), F.col(f"nb{tag}")), row(1, F.col(f"va{tag}"), F.col(f"na{tag}"))]
-            within = value.between(low, high)
+            outside_rows += [row % (-1, f"under{tag}", f"below{tag}"), row % (1, f"over{tag}", f"above{tag}")]
+            within = f"{v} BETWEEN {low} AND {high}"
             inside.append(within)
-            inside_rows.append(F.when(within, row(0, value, F.lit(1).cast("long"))))
+            inside_rows.append(f"CASE WHEN {within} THEN {row % (0, v, '1L')} END")
 
-    outer = placed.groupBy(*by).agg(*outside_aggs).select(*by, F.explode(F.array(*outside_rows)).alias("r"))
-    outer = outer.select(*by, "r.*").filter(F.col("c") > 0)
-    inner = placed.filter(reduce(or_, inside)).select(*by, F.explode(F.array_compact(F.array(*inside_rows))).alias("r"))
-    inner = inner.select(*by, "r.*").groupBy(*by, "column", "q", "side", "value").agg(F.sum("c").alias("c"))
+    outer = placed.groupBy(*by).agg(*map(F.expr, outside_aggs))
+    outer = outer.select(*by, F.expr(f"inline(array({', '.join(outside_rows)}))")).filter("c > 0")
+    inner = placed.filter(" OR ".join(inside)).select(*by, F.expr(f"inline_outer(array_compact(array({', '.join(inside_rows)})))"))
+    inner = inner.groupBy(*by, "column", "q", "side", "value").agg(F.sum("c").alias("c"))
 
     key = [*by, "column", "q"]
     per_key = Window.partitionBy(*key)

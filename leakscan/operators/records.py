@@ -25,6 +25,8 @@ REQUEST_SCHEMA = T.StructType(
     ]
 )
 CORRUPT = "_corrupt_record"
+# The same with the column in which the reader keeps records that do not fit.
+MARKED_REQUEST_SCHEMA = T.StructType([*REQUEST_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
 
 # Required fields and the length limits of two of them.
 REQUIRED_FIELDS = ("user_email", "recipient_email", "subject", "body", "timestamp")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.functions.draws import draw
-from leakscan.plans.lookup import bounded_lookup
+from leakscan.operators.lookup import bounded_lookup
 
 BUCKETS = 65_536
 

@@ -1 +1 @@
-"""Multi-step jobs: lookups, features, models, scoring, similarity."""
+"""Multi-step jobs: features, models, scoring, similarity."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.operators.neighbours import nearest
+from leakscan.operators.neighbours import knn
 from leakscan.operators.vectors import DIMENSION, embed_text
-from leakscan.plans.lookup import bounded_lookup
+from leakscan.operators.lookup import bounded_lookup
 from leakscan.sources.vectors import save_vectors
 
 
@@ -24,7 +24,7 @@ def similar_vectors(
     The hits, k per query, are looked up from the corpus side: while they are few they are broadcast and the corpus is
     filtered where it lies.
     """
-    hits = bounded_lookup(nearest(corpus, queries, k, id_col, query_id, vector).withColumnRenamed("id", "_hit"))
+    hits = bounded_lookup(knn(corpus, queries, k, id_col, query_id, vector).withColumnRenamed("id", "_hit"))
     metadata = corpus.drop(vector)
     return metadata.join(hits, F.col("_hit") == F.col(id_col)).drop("_hit")
 

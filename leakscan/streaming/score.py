@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from leakscan.operators.records import CORRUPT, REQUEST_SCHEMA
+from leakscan.operators.records import CORRUPT, MARKED_REQUEST_SCHEMA
 from leakscan.plans.models import LeakModel
 from leakscan.plans.scoring import scan_messages, score_incidents
 
 
 def read_requests(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream of JSON-lines request files. Records that do not fit the schema stay, marked as malformed."""
-    schema = T.StructType([*REQUEST_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(MARKED_REQUEST_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(folder)

@@ -15,13 +15,13 @@ from leakscan.functions.vector import cosine
 from leakscan.operators import profile, vectors
 from leakscan.operators.categories import apply_codes, fit_codes
 from leakscan.operators.metrics import class_report, confusion, per_class
-from leakscan.operators.neighbours import nearest
+from leakscan.operators.neighbours import knn
 from leakscan.operators.quantiles import exact_quantiles
 from leakscan.operators.records import head, validate
 from leakscan.operators.sampling import sample_n, stratified_split
 from leakscan.operators.vocabulary import TfIdf, fit_vocabulary, term_counts
-from leakscan.plans.lookup import bounded_lookup
-from leakscan.plans.parallel import spread
+from leakscan.operators.lookup import bounded_lookup
+from leakscan.operators.parallel import spread
 
 
 def test_normalise_equals_unicodedata(spark):
@@ -132,7 +132,7 @@ def test_neighbours_equal_brute_force(spark, bound):
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)] + [(999, None)], "id int, embedding array<float>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id int, embedding array<float>")
     got = {}
-    for r in nearest(c.repartition(5), q, 4, max_query_bytes=bound).orderBy("query_id", "rank").collect():
+    for r in knn(c.repartition(5), q, 4, max_query_bytes=bound).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["id"], r["distance"]))
         assert r["similarity"] == pytest.approx(math.exp(-r["distance"] / 10))
     for i, v in enumerate(queries):
@@ -141,13 +141,24 @@ def test_neighbours_equal_brute_force(spark, bound):
         assert got[i] == [(j, pytest.approx(d[j])) for j in best]
 
 
+@pytest.mark.parametrize("bound", [1 << 30, 8 * 2 * 2])
+def test_neighbours_with_text_ids(spark, bound):
+    c = spark.createDataFrame([(f"c{i}", [float(i), 0.0]) for i in range(9)], "key string, embedding array<float>")
+    q = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(9)], "query_id string, embedding array<double>")
+    rows = knn(c, q, 2, "key", max_query_bytes=bound).filter("rank = 1").collect()
+    assert sorted((r["query_id"], r["id"], r["distance"]) for r in rows) == [(f"q{i}", f"c{i}", 1.0) for i in range(9)]
+    mixed = c.unionByName(spark.createDataFrame([("wide", [1.0, 2.0, 3.0])], c.schema)).coalesce(1)
+    with pytest.raises(Exception, match="width"):
+        knn(mixed, q, 2, "key", max_query_bytes=bound).collect()
+
+
 def test_neighbours_of_little(spark):
     c = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id int, embedding array<double>")
     q = spark.createDataFrame([(1, [0.0, 0.0])], "query_id int, embedding array<double>")
-    rows = nearest(c, q, 5).orderBy("rank").collect()
+    rows = knn(c, q, 5).orderBy("rank").collect()
     assert [(r["id"], r["distance"]) for r in rows] == [(1, 0.0), (2, 25.0)]
-    assert nearest(c.limit(0), q, 5).count() == 0
-    assert nearest(c, q.limit(0), 5).count() == 0
+    assert knn(c.limit(0), q, 5).count() == 0
+    assert knn(c, q.limit(0), 5).count() == 0
 
 
 def test_embedding(spark):
@@ -262,6 +273,7 @@ def test_lookup_bound(spark):
     df = spark.range(20)
     assert bounded_lookup(df, 10) is df
     assert bounded_lookup(df, 20).count() == 20
+    assert bounded_lookup(df, 20, max_bytes=20) is df
 
 
 def test_spread_only_small_inputs(spark):
