@@ -50,8 +50,9 @@ def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class reports of both targets over the scored table."""
-    tables = M.evaluate(spark, _model(spark, sf_dir), incidents(spark, sf_dir))
+    """Class reports of both targets over the held-out rows."""
+    _, held_out = M.split(incidents(spark, sf_dir), KEY)
+    tables = M.evaluate(spark, _model(spark, sf_dir), held_out)
     reports = [parts["report"].withColumn("target", F.lit(target)) for target, parts in tables.items()]
     return reduce(DataFrame.unionByName, reports)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -15,36 +16,104 @@ from leakscan.functions.detect import text_or_empty
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-@lru_cache(maxsize=1)
-def accent_tables() -> tuple[str, str]:
-    """``translate`` arguments that decompose characters and drop combining marks.
+# First syllable of the Hangul block, and the jamo its syllables are made of.
+HANGUL_FIRST = 0xAC00
+HANGUL_LAST = 0xD7A3
+LEADS = "".join(map(chr, range(0x1100, 0x1113)))
+VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
+TAILS = "".join(map(chr, range(0x11A8, 0x11C3)))
+
+
+@dataclass(frozen=True)
+class AccentTables:
+    """What compatibility decomposition without combining marks does to single characters.
 
-    Built from the Unicode database: characters whose compatibility decomposition has one base character map to it,
-    combining marks map to nothing (they stand past the end of the target). Characters that expand to several base
-    characters (ligatures, fractions, Hangul syllables) are left as they are.
+    ``source`` and ``target`` are arguments of ``translate``: characters with one base character map to it, combining
+    marks stand past the end of the target and vanish. ``wide`` holds the characters that expand to several of which one
+    at least can be part of a word, ``expanded`` their expansions, and ``wide_pattern`` finds one.
     """
-    source, target, marks = [], [], []
+
+    source: str
+    target: str
+    wide: str
+    expanded: tuple[str, ...]
+    wide_pattern: str
+
+
+@lru_cache(maxsize=1)
+def accent_tables() -> AccentTables:
+    """Built from the Unicode database; Hangul syllables are left to arithmetic."""
+    source, target, marks, wide, expanded = [], [], [], [], []
     for char in map(chr, range(0x80, sys.maxunicode + 1)):
         if unicodedata.combining(char):
             marks.append(char)
             continue
-        if not unicodedata.decomposition(char):
+        if not unicodedata.decomposition(char) or HANGUL_FIRST <= ord(char) <= HANGUL_LAST:
             continue
-        base = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] != char:
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if len(base) == 1 and base != char:
             source.append(char)
-            target.append(base[0])
-    return "".join(source + marks), "".join(target)
+            target.append(base)
+        elif not base:
+            marks.append(char)
+        elif any(c.isalnum() for c in base) and base != char:
+            wide.append(char)
+            expanded.append(base)
+    return AccentTables(
+        "".join(source + marks), "".join(target), "".join(wide), tuple(expanded), _wide_pattern(list(map(ord, wide)))
+    )
+
+
+def _wide_pattern(codes: list[int]) -> str:
+    """Any of the codes or a Hangul syllable. A class of long code-free stretches in front rejects most text quickly."""
+    known = sorted([(c, c) for c in codes] + [(HANGUL_FIRST, HANGUL_LAST)])
+    ranges: list[list[int]] = []
+    for low, high in known:
+        if ranges and low == ranges[-1][1] + 1:
+            ranges[-1][1] = high
+        else:
+            ranges.append([low, high])
+    ends = [-1] + [high for _, high in ranges]
+    quiet = [(end + 1, low - 1) for end, (low, _) in zip(ends, ranges) if low - end > 100]
+    text = lambda parts: "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in parts)
+    return f"(?=[^{text(quiet)}])[{text(ranges)}]"
+
+
+def _expand(char: Column, tables: AccentTables) -> Column:
+    """The characters one character decomposes to."""
+    at = F.ascii(char) - HANGUL_FIRST
+    pick = lambda letters, i: F.substring(F.lit(letters), i + 1, 1)
+    tail = F.pmod(at, F.lit(28))
+    syllable = F.concat(
+        pick(LEADS, F.floor(at / 588).cast("int")),
+        pick(VOWELS, F.floor(F.pmod(at, F.lit(588)) / 28).cast("int")),
+        F.when(tail > 0, pick(TAILS, tail - 1)).otherwise(""),
+    )
+    # One literal cut into an array: cheaper to plan than a thousand literals.
+    parts = F.split(F.lit("|".join(tables.expanded)), "[|]")
+    other = F.coalesce(F.get(parts, F.instr(F.lit(tables.wide), char) - 1), char)
+    return (
+        F.when(char < chr(0x80), char)
+        .when(char.between(chr(HANGUL_FIRST), chr(HANGUL_LAST)), syllable)
+        .otherwise(other)
+    )
 
 
 def normalise(col: Column) -> Column:
-    """Lower case without accents (``Ё`` → ``е``, ``é`` → ``e``); null becomes empty.
+    """Lower case without accents (``Ё`` → ``е``, ``é`` → ``e``, ``ﬁ`` → ``fi``); null becomes empty.
 
-    Text with as many bytes as characters is ASCII and has nothing to strip.
+    Text with as many bytes as characters is ASCII and has nothing to strip. Characters that expand to several are rare,
+    so text is taken apart only where it holds one.
     """
-    source, target = accent_tables()
+    tables = accent_tables()
     lowered = F.lower(text_or_empty(col))
-    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(F.translate(lowered, source, target))
+    stripped = F.translate(lowered, tables.source, tables.target)
+    chars = F.transform(F.split(stripped, ""), lambda c: _expand(c, tables))
+    return (
+        F.when(F.octet_length(lowered) == F.length(lowered), lowered)
+        .when(F.rlike(lowered, F.lit(tables.wide_pattern)), F.array_join(chars, ""))
+        .otherwise(stripped)
+    )
 
 
 def tokens(normalised: Column) -> Column:

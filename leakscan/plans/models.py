@@ -30,8 +30,8 @@ PARTS = ("features", "incident_type", "severity", "metrics")
 class TreeParams:
     """Forest settings shared by both models. Spark has no boosted multiclass trees with class probabilities."""
 
-    trees: int = 60
-    depth: int = 10
+    trees: int = 40
+    depth: int = 8
     max_bins: int = 32
     subset: str = "auto"
     seed: int = 42
@@ -92,6 +92,15 @@ def train_severity(features: DataFrame, column: str = "severity", params: TreePa
     return _fit_classifier(weighted, "severity", column, params, "class_weight")
 
 
+def split(
+    df: DataFrame, key: str, targets: dict[str, str] | None = None, test_fraction: float = 0.2, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows, stratified by incident type; the same rows for the same key and seed."""
+    targets = check_targets(df, targets)
+    marked = stratified_split(df, targets["incident_type"], key, test_fraction, seed)
+    return marked.filter(~F.col("is_test")).drop("is_test"), marked.filter(F.col("is_test")).drop("is_test")
+
+
 def train(
     df: DataFrame,
     key: str,
@@ -103,10 +112,7 @@ def train(
 ) -> LeakModel:
     """Stratified split, feature fit on the training part, both models, accuracy on the held-out part."""
     targets = check_targets(df, targets)
-    split = stratified_split(df, targets["incident_type"], key, test_fraction, seed)
-    training = split.filter(~F.col("is_test")).drop("is_test")
-    held_out = split.filter(F.col("is_test")).drop("is_test")
-
+    training, held_out = split(df, key, targets, test_fraction, seed)
     features = FeatureExtractor(config).fit(training)
     columns = list(dict.fromkeys(targets.values()))
     prepared = features.transform(training).select(*columns, "features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -174,7 +180,7 @@ def model_info(spark: SparkSession, model: LeakModel) -> DataFrame:
 def evaluate(
     spark: SparkSession, model: LeakModel, df: DataFrame, targets: dict[str, str] | None = None
 ) -> dict[str, dict[str, DataFrame]]:
-    """Per target: accuracy, macro scores, confusion matrix, class report and importances.
+    """Per target: accuracy, macro scores, confusion matrix, class report and importances. Pass held-out rows.
 
     The rows are scored once into a narrow table of classes that all metrics read.
     """
