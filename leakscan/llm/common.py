@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,27 +33,17 @@ def fresh(*names: str, prefix: str = "llm") -> dict[str, str]:
     return {name: f"_{prefix}_{name}_{token}" for name in names}
 
 
-def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-class Memo(dict):
-    """A dict that computes what it lacks; emptied beyond a number of entries so that a worker's memory is bounded."""
-
-    def __init__(self, make: Callable, entries: int):
-        super().__init__()
-        self._make, self._entries = make, entries
-
-    def __missing__(self, key):
-        value = self._make(key)
-        if len(key) <= 256:
-            if len(self) >= self._entries:
-                self.clear()
-            self[key] = value
-        return value
+def blocks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) of about ``size`` bytes together; a longer text is a run of its own."""
+    start = total = 0
+    for i, raw in enumerate(texts):
+        if total and total + len(raw) > size:
+            yield start, i
+            start, total = i, 0
+        total += len(raw)
+    if start < len(texts):
+        yield start, len(texts)

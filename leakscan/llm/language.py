@@ -25,15 +25,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import batch, fold, table, text_bytes
+from leakscan.llm.common import batch, blocks, fold, table, text_bytes
 from leakscan.llm.lattice import Lattice, public_pieces
 from leakscan.llm.pieces import BLOCK, learn
 
 #: Bound on the labelled rows that each language is learnt from.
 ROWS_PER_LANGUAGE = 2_000
 ROUNDS = 3
-#: Distinct words of a batch that are segmented at a time; bounds the table of word scores.
-WORDS = 600_000
+#: Bytes of text whose distinct words are segmented at a time; bounds the table of word scores.
+BLOCK_BYTES = 32_000_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -105,7 +105,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
         for b in batches:
             texts = b.column("text").to_pylist()
             names, scores = [], []
-            for i, j in _parts(texts):
+            for i, j in blocks(texts, BLOCK_BYTES):
                 for row in _posteriors(texts[i:j], known):
                     best = int(row.argmax()) if row is not None else None
                     names.append(UNDETERMINED if best is None else known.languages[best])
@@ -121,18 +121,6 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     )
 
 
-def _parts(texts: list[bytes]):
-    """Runs of texts that hold few enough words together."""
-    start = size = 0
-    for i, raw in enumerate(texts):
-        size += raw.count(b" ") + raw.count(b"\n") + 1
-        if size > 8 * WORDS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _posteriors(texts: list[bytes], known: LanguageModel):
     counted = [Counter(t.lower().split()) if _LETTER.search(t.decode("utf-8", "replace")) else None for t in texts]
     number: dict[bytes, int] = {}

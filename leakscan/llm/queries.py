@@ -2,11 +2,13 @@
 
 from leakscan.llm.language import op10_language
 from leakscan.llm.lattice_lm import op1_lattice_lm
+from leakscan.llm.prefix_bpe import op3_prefix_bpe
 from leakscan.llm.quality import SQL as QUALITY_SQL
 from leakscan.llm.quality import op8_quality
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op3_prefix_bpe": op3_prefix_bpe,
     "op8_quality": op8_quality,
     "op10_language": op10_language,
 }
