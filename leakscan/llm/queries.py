@@ -1,7 +1,9 @@
 """Named queries of the operators, and the SQL of those that SQL can express."""
 
+from leakscan.llm.digest import op7_digest
 from leakscan.llm.language import op10_language
 from leakscan.llm.lattice_lm import op1_lattice_lm
+from leakscan.llm.packing import op6_packing
 from leakscan.llm.prefix_bpe import op3_prefix_bpe
 from leakscan.llm.quality import SQL as QUALITY_SQL
 from leakscan.llm.quality import op8_quality
@@ -9,6 +11,8 @@ from leakscan.llm.quality import op8_quality
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op3_prefix_bpe": op3_prefix_bpe,
+    "op6_packing": op6_packing,
+    "op7_digest": op7_digest,
     "op8_quality": op8_quality,
     "op10_language": op10_language,
 }
