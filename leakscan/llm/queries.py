@@ -1,5 +1,7 @@
 """Named queries of the operators, and the SQL of those that SQL can express."""
 
+from leakscan.llm.chat import SQL as CHAT_SQL
+from leakscan.llm.chat import op4_chat
 from leakscan.llm.digest import op7_digest
 from leakscan.llm.language import op10_language
 from leakscan.llm.lattice_lm import op1_lattice_lm
@@ -7,14 +9,17 @@ from leakscan.llm.packing import op6_packing
 from leakscan.llm.prefix_bpe import op3_prefix_bpe
 from leakscan.llm.quality import SQL as QUALITY_SQL
 from leakscan.llm.quality import op8_quality
+from leakscan.llm.warc import op9_warc
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op3_prefix_bpe": op3_prefix_bpe,
+    "op4_chat": op4_chat,
     "op6_packing": op6_packing,
     "op7_digest": op7_digest,
     "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
-ORACLES = {"op8_quality": QUALITY_SQL}
+ORACLES = {"op4_chat": CHAT_SQL, "op8_quality": QUALITY_SQL}
