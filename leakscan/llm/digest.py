@@ -156,7 +156,7 @@ def compare_neighbours(docs: DataFrame, key: str, text: str = "text") -> DataFra
     done = walked.filter("edge is null").select("key", *_NAMES)
     firsts = walked.filter("edge = 0").select(F.col("part").alias("next_part"), F.col("raw").alias("next_raw"))
     lasts = walked.filter("edge = 1").select("part", "key", "raw")
-    order = following(lasts.select("part"))
+    order = following(lasts.select("part"), wrap=True)
     pairs = lasts.join(order, "part").join(firsts, "next_part").select("key", "raw", "next_raw")
 
     def close(batches):

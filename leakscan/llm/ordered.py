@@ -16,11 +16,11 @@ def in_order(df: DataFrame, keys: list) -> DataFrame:
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
 
 
-def following(parts: DataFrame) -> DataFrame:
-    """part, next_part: the next partition that has rows, the first after the last.
+def following(parts: DataFrame, wrap: bool = False) -> DataFrame:
+    """part, next_part: the next partition that has rows; after the last null, or with ``wrap`` the first.
 
     ``parts``: one narrow row per partition, hence one task.
     """
-    after = F.lead("part").over(Window.orderBy("part"))
-    first = F.first("part").over(Window.orderBy("part"))
-    return parts.select("part", F.coalesce(after, first).alias("next_part"))
+    order = Window.orderBy("part")
+    after = F.lead("part").over(order)
+    return parts.select("part", (F.coalesce(after, F.first("part").over(order)) if wrap else after).alias("next_part"))

@@ -190,7 +190,7 @@ class Codec:
         find, splits, ranks = self._pattern.findall, self._splits, self.ranks
         cut = {w: find(w) for w in words}
         encoder = PrefixEncoder(self.pairs)
-        for raw, split in sorted((s.encode(), s) for s in {s for found in cut.values() for s in found} - splits.keys()):
+        for raw, split in sorted((s.encode(), s) for s in {s for found in cut.values() for s in found if s not in splits}):
             token = ranks.get(raw)
             if token is None:
                 encoder.restart(raw)
@@ -213,7 +213,7 @@ class Codec:
             [t] if " " not in t else (first := t.partition(" ")) and [first[0], *map(" ".__add__, first[2].split(" "))]
             for t in texts
         ]
-        self._learn(set().union(*cut) - self._words.keys())
+        self._learn({w for w in set().union(*cut) if w not in self._words})
         return [b"".join(map(self._words.__getitem__, words)) for words in cut]
 
     def decode(self, ids: bytes) -> bytes:

@@ -3,8 +3,10 @@
 from leakscan.llm.chat import SQL as CHAT_SQL
 from leakscan.llm.chat import op4_chat
 from leakscan.llm.digest import op7_digest
+from leakscan.llm.extract import op5_extract
 from leakscan.llm.language import op10_language
 from leakscan.llm.lattice_lm import op1_lattice_lm
+from leakscan.llm.order_minhash import op2_order_minhash
 from leakscan.llm.packing import op6_packing
 from leakscan.llm.prefix_bpe import op3_prefix_bpe
 from leakscan.llm.quality import SQL as QUALITY_SQL
@@ -13,8 +15,10 @@ from leakscan.llm.warc import op9_warc
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op2_order_minhash": op2_order_minhash,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_chat": op4_chat,
+    "op5_extract": op5_extract,
     "op6_packing": op6_packing,
     "op7_digest": op7_digest,
     "op8_quality": op8_quality,

@@ -48,7 +48,7 @@ class WordBpe:
             self._words.clear()
             self._parts.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut) - self._words.keys())
+        self._learn({w for w in set().union(*cut) if w not in self._words})
         return [b"".join(map(self._words.__getitem__, words)) for words in cut]
 
     def _learn(self, words: set[str]) -> None:
@@ -65,7 +65,7 @@ class WordBpe:
         for w, e in zip(other, self.library.encode_batch(other, add_special_tokens=False), strict=True):
             self._words[w] = np.array(e.ids, dtype="<u4").tobytes()
         by_length = defaultdict(list)
-        for run in {r for runs in plain.values() for r in runs} - self._parts.keys():
+        for run in {r for runs in plain.values() for r in runs if r not in self._parts}:
             raw = run.encode()
             by_length[len(raw)].append((run, raw))
         for length, pairs in by_length.items():
