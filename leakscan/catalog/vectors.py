@@ -106,7 +106,7 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.project_2d(_embeddings(spark, sf_dir), "vec_id")
+    return V.project_2d(_embeddings(spark, sf_dir))
 
 
 _KNN = f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings),

@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leakscan.functions.rules import EMAIL_SIGN, THREE_DIGITS, jvm_pattern, needs_digits, needs_sign, rule_set
+from leakscan.functions.rules import EMAIL_SIGN, THREE_DIGITS, email_pattern, jvm_pattern, needs_digits, needs_sign, rule_set
 
 # Field of the detection struct that holds the matches of each rule.
 MATCH_FIELDS = {
@@ -49,14 +49,24 @@ def pii_matches(col: Column | str, rule: str, rules: str | dict[str, str] = "bas
     if rule not in patterns:
         raise ValueError(f"unknown rule {rule!r}; known: {', '.join(patterns)}")
     text = text_or_empty(col)
+    if needs_sign(patterns[rule]):
+        found = F.regexp_extract_all(text, F.lit(email_pattern()), F.lit(1))
+        return F.when(F.contains(text, F.lit(EMAIL_SIGN)), found).otherwise(_no_strings())
     found = F.regexp_extract_all(text, F.lit(jvm_pattern(patterns[rule])), F.lit(group))
     if needs_digits(patterns[rule]):
         return F.when(F.rlike(text, F.lit(THREE_DIGITS)), found).otherwise(_no_strings())
-    if needs_sign(patterns[rule]):
-        return F.when(F.contains(text, F.lit(EMAIL_SIGN)), found).otherwise(_no_strings())
     return found
 
 
+def match_fields(rules: str | dict[str, str] = "base") -> dict[str, str]:
+    """Struct field of each rule: the six built-in ones, then a caller's further rules under their own names."""
+    more = {name: name for name in rule_set(rules) if name not in MATCH_FIELDS}
+    taken = {*MATCH_FIELDS.values(), *ENTITY_FIELDS, "has_pii", "pii_count", "risk_level", "detection_method"}
+    if taken & more.keys():
+        raise ValueError(f"rule names that are fields already: {', '.join(sorted(taken & more.keys()))}")
+    return {**MATCH_FIELDS, **more}
+
+
 def match_struct(
     col: Column | str,
     rules: str | dict[str, str] = "base",
@@ -65,10 +75,14 @@ def match_struct(
     locations: Column | str | None = None,
     phone_group: int = 0,
 ) -> Column:
-    """The nine match arrays of a text. Entities come from the caller's own columns, if there are any."""
+    """The match arrays of a text: of the built-in rules, of further rules of the caller's map, and of entities.
+
+    A built-in rule that the map lacks finds nothing. Entities come from the caller's own columns, if there are any.
+    """
+    known = rule_set(rules)
     fields = [
-        pii_matches(col, rule, rules, phone_group if rule == "phone" else 0).alias(field)
-        for rule, field in MATCH_FIELDS.items()
+        (pii_matches(col, rule, rules, phone_group if rule == "phone" else 0) if rule in known else _no_strings()).alias(field)
+        for rule, field in match_fields(rules).items()
     ]
     for field, entity in zip(ENTITY_FIELDS, (persons, orgs, locations)):
         value = _no_strings() if entity is None else F.coalesce(_column(entity), _no_strings())
@@ -91,15 +105,15 @@ def risk_level(matches: Column) -> Column:
     )
 
 
-def pii_count(matches: Column) -> Column:
-    """Matches of the six rules plus persons; organisations and locations do not count."""
-    return reduce(add, (F.size(matches[f]) for f in (*MATCH_FIELDS.values(), "persons")))
+def pii_count(matches: Column, rules: str | dict[str, str] = "base") -> Column:
+    """Matches of all rules plus persons; organisations and locations do not count."""
+    return reduce(add, (F.size(matches[f]) for f in (*match_fields(rules).values(), "persons")))
 
 
-def detection(matches: Column, hybrid: bool = False) -> Column:
+def detection(matches: Column, hybrid: bool = False, rules: str | dict[str, str] = "base") -> Column:
     """The full detection struct from a column of match arrays."""
-    count = pii_count(matches)
-    arrays = [matches[f].alias(f) for f in (*MATCH_FIELDS.values(), *ENTITY_FIELDS)]
+    count = pii_count(matches, rules)
+    arrays = [matches[f].alias(f) for f in (*match_fields(rules).values(), *ENTITY_FIELDS)]
     return F.struct(
         *arrays,
         (count > 0).alias("has_pii"),
@@ -118,12 +132,13 @@ def detect_pii(
     phone_group: int = 0,
 ) -> Column:
     """Detection struct of one text column. Over tables prefer :func:`leakscan.operators.findings.with_pii`."""
-    return detection(match_struct(col, rules, persons, orgs, locations, phone_group), hybrid=persons is not None)
+    return detection(match_struct(col, rules, persons, orgs, locations, phone_group), persons is not None, rules)
 
 
-def detected_types(pii: Column) -> Column:
+def detected_types(pii: Column, rules: str | dict[str, str] = "base") -> Column:
     """Names of the rules with at least one match, in rule order."""
-    return F.array_compact(F.array(*[F.when(F.size(pii[f]) > 0, F.lit(rule)) for rule, f in MATCH_FIELDS.items()]))
+    found = [F.when(F.size(pii[f]) > 0, F.lit(rule)) for rule, f in match_fields(rules).items()]
+    return F.array_compact(F.array(*found))
 
 
 def pii_features(pii: Column, use_pii: bool = True) -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,17 @@ DEFAULT_HOUR = 12
 DEFAULT_WEEKDAY = 2
 
 
-def parse_ts(col: Column) -> Column:
-    """Lenient parse: anything unreadable becomes null. Timestamps pass through."""
-    return F.try_to_timestamp(col.cast("string"))
+# An offset after a time of day; the written hour counts, whatever the zone.
+_OFFSET = r"(\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:[zZ]|[+-]\d{2}(?::?\d{2})?)$"
+
+
+def parse_ts(col: Column, formats: Sequence[str] = ()) -> Column:
+    """Lenient parse: anything unreadable becomes null. Timestamps pass through.
+
+    An offset is dropped, so hours are those that are written. ``formats`` are further layouts, tried in order.
+    """
+    written = F.regexp_replace(F.trim(col.cast("string")), _OFFSET, "$1")
+    return F.coalesce(F.try_to_timestamp(written), *(F.try_to_timestamp(written, F.lit(f)) for f in formats))
 
 
 def hour_of_day(ts: Column) -> Column:

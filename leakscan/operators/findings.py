@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.functions.detect import MATCH_FIELDS, detection, match_struct
+from leakscan.functions.detect import detection, match_fields, match_struct
 
 
 def with_pii(
@@ -24,14 +24,14 @@ def with_pii(
     """
     held = f"_{into}_matches"
     matched = df.withColumn(held, match_struct(text_col, rules, persons, orgs, locations, phone_group))
-    return matched.withColumn(into, detection(F.col(held), hybrid=persons is not None)).drop(held)
+    return matched.withColumn(into, detection(F.col(held), persons is not None, rules)).drop(held)
 
 
 def pii_findings(df: DataFrame, id_col: str, text_col: str, rules: str | dict[str, str] = "base") -> DataFrame:
     """Long table of matches ``(id, pii_type, match, pos)``; rules without a match have no row."""
     matches = df.select(F.col(id_col), match_struct(text_col, rules).alias("m"))
     per_rule = F.array(
-        *[F.struct(F.lit(rule).alias("pii_type"), F.col("m")[field].alias("found")) for rule, field in MATCH_FIELDS.items()]
+        *[F.struct(F.lit(rule).alias("pii_type"), F.col("m")[field].alias("found")) for rule, field in match_fields(rules).items()]
     )
     typed = matches.select(id_col, F.explode(per_rule).alias("r"))
     return typed.select(id_col, F.col("r.pii_type"), F.posexplode("r.found").alias("pos", "match")).select(

@@ -1,4 +1,7 @@
-"""Classification metrics. Everything after the first count runs on one row per pair of classes."""
+"""Classification metrics. Everything after the first count runs on one row per pair of classes.
+
+A null is a label of its own on either side, in every metric.
+"""
 
 from __future__ import annotations
 
@@ -32,12 +35,14 @@ def confusion(df: DataFrame, actual: str, predicted: str, labels: Sequence[str]
     counts = pair_counts(df, actual, predicted)
     if labels is None:
         both = F.explode(F.array("actual", "predicted")).alias("label")
-        known = counts.select(both).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+        held = F.collect_set(F.struct("label"))  # a struct keeps the null, which a set of labels would drop
+        known = counts.select(both).agg(F.array_sort(F.transform(held, lambda s: s["label"])).alias("labels"))
     else:
         known = df.sparkSession.createDataFrame([(list(labels),)], "labels array<string>")
-    grid = known.select("labels", F.explode("labels").alias("actual")).select("actual", F.explode("labels").alias("predicted"))
-    return grid.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0).cast("long")).alias("n")
+    grid = known.select("labels", F.explode("labels").alias("a")).select("a", F.explode("labels").alias("p"))
+    same = F.col("a").eqNullSafe(F.col("actual")) & F.col("p").eqNullSafe(F.col("predicted"))
+    return grid.join(counts, same, "left").select(
+        F.col("a").alias("actual"), F.col("p").alias("predicted"), F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )
 
 
@@ -49,7 +54,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 def per_class(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Per class on either side: true, predicted and correct counts, precision, recall, F1, recognised flag."""
     counts = pair_counts(df, actual, predicted)
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    hit = F.when(F.col("actual").eqNullSafe(F.col("predicted")), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("long")
     sides = F.array(
         F.struct(F.col("actual").alias("class"), F.col("n").alias("t"), zero.alias("p"), hit.cast("long").alias("c")),

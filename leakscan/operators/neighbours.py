@@ -109,10 +109,12 @@ def knn(
 ) -> DataFrame:
     """``(query_id, id, distance, similarity, rank)``: the min(k, corpus size) nearest rows of each query.
 
-    Ids must identify rows; rows with a null vector are no neighbours. An empty corpus gives no rows.
+    Ids must identify rows; rows with a null vector or a null id neither ask nor are neighbours. An empty corpus gives no rows.
     """
-    corpus = corpus.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    queries = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    corpus = corpus.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    queries = queries.filter(F.col(vector).isNotNull() & F.col(query_id).isNotNull()).select(
+        F.col(query_id).alias("query_id"), F.col(vector).alias("v")
+    )
     schema = T.StructType(
         [_field(queries, "query_id", "query_id"), _field(corpus, "id", "id"), T.StructField("distance", T.DoubleType())]
     )

@@ -12,6 +12,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     input has more splits than cores and is never shuffled here. Hashing by key keeps a retried task repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df if _tasks(df) >= cores else df.repartition(cores, *keys)
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of the plan as it stands. Without adaptive execution for the moment: that would run exchanges to tell."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    try:
+        conf.set(key, "false")
+        return df.select("*").rdd.getNumPartitions()
+    finally:
+        conf.set(key, before)

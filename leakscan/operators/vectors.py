@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from leakscan.operators.sampling import sample_n
 from leakscan.operators.vocabulary import with_terms
 
 DIMENSION = 384
@@ -92,9 +91,9 @@ def cluster_mix(df: DataFrame, kind: str, cluster_col: str = "cluster") -> DataF
     return df.groupBy(cluster_col, kind).agg(F.count(F.lit(1)).alias("n"))
 
 
-def project_2d(df: DataFrame, key: str, vector: str = "embedding", sample: int = 5000, seed: int = 42) -> DataFrame:
-    """A seeded sample of the vectors with the two leading principal components ``x`` and ``y``."""
-    chosen = sample_n(df, sample, key, seed).withColumn("features", array_to_vector(F.col(vector)))
+def project_2d(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """All rows with the two leading principal components ``x`` and ``y``; ``sample_n`` first for a part of them."""
+    chosen = df.withColumn("features", array_to_vector(F.col(vector)))
     model = PCA(k=2, inputCol="features", outputCol="projected").fit(chosen)
     xy = vector_to_array("projected")
     return model.transform(chosen).withColumn("x", xy[0]).withColumn("y", xy[1]).drop("features", "projected", vector)

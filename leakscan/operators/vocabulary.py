@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,9 +133,9 @@ class TfIdf:
         The outer form of explode keeps Catalyst from adding a filter on the vector, which would compute it again.
         """
         names = F.array(*[F.lit(t) for t in self.terms])
-        weights = self.transform(df, text_col).select(id_col, vector_to_array("tfidf").alias("w"))
-        return (
-            weights.select(id_col, F.posexplode_outer("w").alias("pos", "weight"))
-            .filter(F.col("weight") > 0)
-            .select(id_col, F.get(names, F.col("pos")).alias("term"), "weight")
+        sparse = F.unwrap_udt("tfidf")
+        held = F.arrays_zip(sparse["indices"].alias("pos"), sparse["values"].alias("weight"))
+        weights = self.transform(df, text_col).select(id_col, F.explode_outer(held).alias("w"))
+        return weights.filter(F.col("w")["1"] > 0).select(
+            id_col, F.get(names, F.col("w")["0"]).alias("term"), F.col("w")["1"].alias("weight")
         )

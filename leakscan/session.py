@@ -32,12 +32,14 @@ def build_session(app_name: str = "leakscan", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Root of the folder all executors can reach, as the session names it.
 
-    Only where the session names none (tests on one machine) is a local temporary folder used, and it is then set
-    on the context so that later calls agree.
+    Where the session names none, a local master (tests on one machine) gets a temporary folder, which is then set on
+    the context so that later calls agree; on a cluster that is an error.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="leakscan-"))
         configured = context.getCheckpointDir()
     return configured.rstrip("/")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leakscan.operators.vectors import vector_width
 
 
-def save_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Vectors and metadata are columns of one Parquet table; the width is checked first."""
-    vector_width(df)
+def save_vectors(df: DataFrame, path: str, mode: str = "overwrite", vector: str = "embedding") -> None:
+    """Vectors and metadata are columns of one Parquet table; the write fails if their widths differ."""
+    width = F.size(vector)
+    one = df.filter(F.col(vector).isNotNull()).select(width.alias("width")).first()
+    if one is not None:
+        wrong = F.raise_error(F.lit(f"vectors of different widths in one table; expected {one['width']}"))
+        df = df.withColumn(vector, F.when(F.col(vector).isNull() | (width == one["width"]), F.col(vector)).otherwise(wrong))
     df.write.mode(mode).parquet(path)
 
 

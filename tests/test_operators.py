@@ -275,9 +275,9 @@ def test_head_needs_an_order(spark):
 
 def test_lookup_bound(spark):
     df = spark.range(20)
-    assert bounded_lookup(df, 10) is df
-    assert bounded_lookup(df, 20).count() == 20
-    assert bounded_lookup(df, 20, max_bytes=20) is df
+    assert bounded_lookup(df, 10).inputFiles()  # read back from the shared folder
+    assert not bounded_lookup(df, 20).inputFiles()
+    assert bounded_lookup(df, 20, max_bytes=20).count() == 20
 
 
 def test_spread_only_small_inputs(spark):
