@@ -15,7 +15,7 @@ from leakscan.llm.chat import INSTRUCT, Machine, Parser
 from leakscan.llm.digest import edited, fingerprint, likeness
 from leakscan.llm.extract import lines_of, main_text
 from leakscan.llm.lattice import Lattice
-from leakscan.llm.order_minhash import Shingler, distinct, forest, labelled, verified
+from leakscan.llm.order_minhash import Shingler, forest, labelled, verified
 from leakscan.llm.packing import best_fit, plan, reduce
 from leakscan.llm.prefix_bpe import Codec, PairTable, PrefixEncoder, read_ranks
 from leakscan.llm.quality import text_stats
@@ -177,7 +177,7 @@ def test_near_duplicates_parts():
     near[150:152] = ["new", "words", "here"]
     far = words.copy()
     far[::9] = ["x"] * len(far[::9])
-    a, b, c = (distinct(shingler(" ".join(w).encode())) for w in (words, near, far))
+    a, b, c = (shingler(" ".join(w).encode()) for w in (words, near, far))
     assert verified(a, b, 0.8) and not verified(a, c, 0.8) and verified(a, a, 0.8)
     signatures = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [9, 9, 9, 9], [1, 1, 2, 2]], dtype=np.uint8)
     assert sorted(map(tuple, map(sorted, forest(signatures, 2)))) == [(0, 1), (1, 3)]
