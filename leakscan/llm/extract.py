@@ -7,7 +7,8 @@ shared line stays if it is a paragraph, heading, list item or cell inside an art
 that they are no text (navigation, forms, scripts, adverts, comments and so on, by tag, role, class or id) are left out before.
 
 Plan: pages are dealt in ranges of (host, path), so a large host spreads over many tasks and neighbours meet in one; html
-is shuffled once. Pages at the edges of ranges meet their neighbours in a small second step.
+is shuffled once. Pages at the edges of ranges meet their neighbours in a small second step, which reads the same exchange; no
+text is written in between.
 
 Cases: null or empty html: empty text. No host in the URL, or a host with one page: no pair. Equal URLs: ordered by key.
 Pages without an article or main element: all lines that are not shared. Unclosed and stray tags are tolerated. Nothing is cut.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from leakscan.llm.align import common_lines
 from leakscan.llm.common import table, text_bytes
 from leakscan.llm.ordered import following, in_order
-from leakscan.session import materialise
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -149,6 +149,11 @@ def main_text(own: list[Line], partner: list[Line] | None) -> str:
     )
 
 
+def _waits(host: str, first: bool, last: bool, paired: bool) -> bool:
+    """Whether a page is paired in the second step: it may have a neighbour in another partition that is to be its pair."""
+    return bool(host) and (first or last and not paired)
+
+
 def extract(pages: DataFrame, key: str, url: str = "url", markup: str = "html") -> DataFrame:
     """key, url, text, n_chars for every page."""
     address = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
@@ -163,47 +168,73 @@ def extract(pages: DataFrame, key: str, url: str = "url", markup: str = "html")
         ["host", "path", "url", "key", "raw"],
     )
     kind = rows.schema["key"].dataType.simpleString()
-    schema = (
-        f"key {kind}, url string, text string, part int, first boolean, last boolean, waits boolean, host string, "
-        "raw binary, next_raw binary"
-    )
 
     def walk(batches):
-        """Pages with a neighbour before them in the same host are done; those at the edges go on as they are."""
+        """Texts of the pages that have a neighbour in their partition to be paired with, or need none."""
         kinds = None
-        before = None  # the page that waits for the one after it: [key, url, host, raw, lines, part, first, partner]
-
-        def finish(page, after, last):
-            """after: (host, raw, lines) of the next page in the same task, if any."""
-            key_, url_, host, raw, lines, part, first, partner = page
-            near = after if after and host and after[0] == host else None
-            if partner is None and near and not first:
-                partner = near[2]
-            waits = (first or last and partner is None) and bool(host)
-            text = "" if waits else main_text(lines, partner)
-            edge = first or last
-            return key_, url_, text, part, first, last, waits, host, raw if edge else None, near[1] if first and near else None
+        before = None  # the page that waits for the one after it: key, url, host, lines, first, partner
+
+        def finish(page, after):
+            """after: (host, lines) of the next page in the same partition, if any; none if the page waits."""
+            key_, url_, host, lines, first, partner = page
+            if _waits(host, first, after is None, partner is not None):
+                return None
+            if partner is None and host and after and after[0] == host:
+                partner = after[1]
+            return key_, url_, main_text(lines, partner)
 
         def batch(out):
-            names = [c.split()[0] for c in schema.split(", ")]
-            types = [kinds, *[pa.string()] * 2, pa.int32(), *[pa.bool_()] * 3, pa.string(), *[pa.binary()] * 2]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            types = [kinds, pa.string(), pa.string()]
+            columns = zip(*(r for r in out if r), strict=True) if any(out) else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "url", "text"])
 
         for b in batches:
             kinds, out = b.column("key").type, []
-            columns = (b.column(c).to_pylist() for c in ("key", "url", "host", "raw", "part"))
-            for key_, url_, host, raw, part in zip(*columns, strict=True):
+            columns = (b.column(c).to_pylist() for c in ("key", "url", "host", "raw"))
+            for key_, url_, host, raw in zip(*columns, strict=True):
                 lines = lines_of(raw.decode("utf-8", "replace"))
-                partner = before[4] if before and host and before[2] == host else None
+                partner = before[3] if before and host and before[2] == host else None
                 if before:
-                    out.append(finish(before, (host, raw, lines), False))
-                before = [key_, url_, host, raw, lines, part, before is None, partner]
-            if out:
-                yield batch(out)
+                    out.append(finish(before, (host, lines)))
+                before = key_, url_, host, lines, before is None, partner
+            yield batch(out)
         if before:
-            yield batch([finish(before, None, True)])
+            yield batch([finish(before, None)])
 
-    walked = materialise(rows.mapInArrow(walk, schema), "extracted")
+    def edges(batches):
+        """The first and the last page of a partition as they are (once, if they are one), and the page after the first."""
+        names = ["key", "url", "host", "raw", "part", "first", "last", "waits", "next_raw"]
+        first = last = second = None  # slices of one row
+        paired = False  # whether the last page has the host of the one before it
+        for b in batches:
+            for i in range(len(b)) if second is None else range(max(len(b) - 1, 0), len(b)):
+                host = b.column("host")[i].as_py()
+                if first is None:
+                    first = b.slice(i, 1)
+                elif second is None:
+                    second = b.slice(i, 1)
+                above = b.slice(i - 1, 1) if i else last
+                paired = bool(host) and above is not None and above.column("host")[0].as_py() == host
+                last = b.slice(i, 1)
+        for page, is_first, is_last in ((first, True, second is None), (last, False, True)):
+            if page is not None and (is_first or second is not None):
+                host = page.column("host")[0].as_py()
+                near = is_first and second is not None and second.column("host")[0].as_py() == host
+                flags = [is_first, is_last, _waits(host, is_first, is_last, paired and not is_first)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(page.column(c) for c in names[:5]),
+                        *(pa.array([x], pa.bool_()) for x in flags),
+                        second.column("raw") if near else pa.array([None], pa.binary()),
+                    ],
+                    names=names,
+                )
+
+    done = rows.mapInArrow(walk, f"key {kind}, url string, text string")
+    walked = rows.mapInArrow(
+        edges,
+        f"key {kind}, url string, host string, raw binary, part int, first boolean, last boolean, waits boolean, next_raw binary",
+    )
     order = following(walked.filter("last").select("part"))
     heads = walked.filter("first").select(F.col("part").alias("next_part"), F.col("host").alias("head_host"), F.col("raw").alias("head"))
     tails = walked.filter("last").join(order, "part").select(
@@ -239,9 +270,7 @@ def extract(pages: DataFrame, key: str, url: str = "url", markup: str = "html")
                 [b.column("key"), b.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"]
             )
 
-    both = walked.filter("not waits").select("key", "url", "text").unionByName(
-        waiting.mapInArrow(close, f"key {kind}, url string, text string")
-    )
+    both = done.unionByName(waiting.mapInArrow(close, f"key {kind}, url string, text string"))
     return both.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 
 
