@@ -122,11 +122,15 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
 
 def _posteriors(texts: list[bytes], known: LanguageModel):
-    counted = [Counter(t.lower().split()) if _LETTER.search(t.decode("utf-8", "replace")) else None for t in texts]
     number: dict[bytes, int] = {}
-    for words in counted:
-        for w in words or ():
-            number.setdefault(w, len(number))
+    counted = []  # numbers of a text's distinct words and how often each occurs; a word is held once for all texts
+    for t in texts:
+        if not _LETTER.search(t.decode("utf-8", "replace")):
+            counted.append(None)
+            continue
+        words = Counter(t.lower().split())
+        at = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words))
+        counted.append((at, np.fromiter(words.values(), dtype=np.int32, count=len(words))))
     if not known.languages:
         return [None] * len(texts)
     words = list(number)
@@ -138,9 +142,8 @@ def _posteriors(texts: list[bytes], known: LanguageModel):
         if text is None:
             out.append(None)
             continue
-        at = np.fromiter(map(number.__getitem__, text), dtype=np.int64, count=len(text))
-        times = np.fromiter(text.values(), dtype=float, count=len(text))
-        log = known.prior + times @ table_[at]
+        at, times = text
+        log = known.prior + times.astype(float) @ table_[at]
         log = np.exp(log - log.max())
         out.append(log / log.sum())
     return out
