@@ -136,6 +136,6 @@ class TfIdf:
         sparse = F.unwrap_udt("tfidf")
         held = F.arrays_zip(sparse["indices"].alias("pos"), sparse["values"].alias("weight"))
         weights = self.transform(df, text_col).select(id_col, F.explode_outer(held).alias("w"))
-        return weights.filter(F.col("w")["1"] > 0).select(
-            id_col, F.get(names, F.col("w")["0"]).alias("term"), F.col("w")["1"].alias("weight")
+        return weights.filter(F.col("w.weight") > 0).select(
+            id_col, F.get(names, F.col("w.pos")).alias("term"), F.col("w.weight").alias("weight")
         )
