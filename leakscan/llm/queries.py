@@ -11,6 +11,8 @@ from leakscan.llm.packing import op6_packing
 from leakscan.llm.prefix_bpe import op3_prefix_bpe
 from leakscan.llm.quality import SQL as QUALITY_SQL
 from leakscan.llm.quality import op8_quality
+from leakscan.llm.vector_codes import SQL as CODES_SQL
+from leakscan.llm.vector_codes import op11_codes
 from leakscan.llm.warc import op9_warc
 
 QUERIES = {
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_codes": op11_codes,
 }
 
-ORACLES = {"op4_chat": CHAT_SQL, "op8_quality": QUALITY_SQL}
+ORACLES = {"op4_chat": CHAT_SQL, "op8_quality": QUALITY_SQL, "op11_codes": CODES_SQL}
