@@ -3,6 +3,8 @@
 from leakscan.llm.chat import SQL as CHAT_SQL
 from leakscan.llm.chat import op4_chat
 from leakscan.llm.digest import op7_digest
+from leakscan.llm.divergence import SQL as DIVERGENCE_SQL
+from leakscan.llm.divergence import op12_divergence
 from leakscan.llm.extract import op5_extract
 from leakscan.llm.language import op10_language
 from leakscan.llm.lattice_lm import op1_lattice_lm
@@ -14,6 +16,7 @@ from leakscan.llm.quality import op8_quality
 from leakscan.llm.vector_codes import SQL as CODES_SQL
 from leakscan.llm.vector_codes import op11_codes
 from leakscan.llm.warc import op9_warc
+from leakscan.llm.window_packing import op13_windows
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
@@ -27,6 +30,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_language": op10_language,
     "op11_codes": op11_codes,
+    "op12_divergence": op12_divergence,
+    "op13_windows": op13_windows,
 }
 
-ORACLES = {"op4_chat": CHAT_SQL, "op8_quality": QUALITY_SQL, "op11_codes": CODES_SQL}
+ORACLES = {"op4_chat": CHAT_SQL, "op8_quality": QUALITY_SQL, "op11_codes": CODES_SQL, "op12_divergence": DIVERGENCE_SQL}
