@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,13 @@ def blocks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         total += len(raw)
     if start < len(texts):
         yield start, len(texts)
+
+
+def spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The same from the sizes of the texts."""
+    ends, out, at = np.cumsum(sizes, dtype=np.int64), [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, side="right")))
+        out.append((at, to))
+        at = to
+    return out

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import table, text_bytes
+from leakscan.llm.common import spans, table, text_bytes
 from leakscan.llm.word_sort import PointerSort, word_starts
 from leakscan.operators.lookup import bounded_lookup
 from leakscan.session import materialise
@@ -45,16 +45,6 @@ TERMS, TILE = 2048, 256
 _COUNTS = "lang string, source string, term binary, docs long, n long"
 
 
-def _spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs of texts (from, to) of up to ``most`` bytes together; a longer text is a run of its own."""
-    ends, out, at = np.cumsum(sizes), [], 0
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, side="right")))
-        out.append((at, to))
-        at = to
-    return out
-
-
 def _runs(texts: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(term, group, documents, occurrences) of the texts of a binary array; ``group`` must not fall."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
@@ -101,7 +91,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
                 [*heads, pa.array([b""] * len(groups), pa.binary()), pa.array(size), pa.array(np.zeros_like(size))],
                 names=["lang", "source", "term", "docs", "n"],
             )
-            for i, j in _spans(pc.binary_length(texts).to_numpy().astype(np.int64), BLOCK):
+            for i, j in spans(pc.binary_length(texts).to_numpy(), BLOCK):
                 terms, of, held, n = _runs(texts.slice(i, j - i), group[i:j])
                 at = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
@@ -175,10 +165,10 @@ def _unit(rows: pd.DataFrame) -> pd.DataFrame:
         if first["terms"]:
             value = value + absent * ((none[other] - none[i]) ** 2 // (none[other] + none[i]))
         out.append((np.repeat(i, len(other)), other, value))
-    if not out:
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
-    a, b, value = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"lang": first["lang"], "source": names[a], "item": names[b], "value": value})
+    a, b, value = (np.concatenate(x) for x in zip(*out, strict=True)) if out else np.zeros((3, 0), dtype=np.int64)
+    names = names.astype(object)
+    lang = np.full(len(a), first["lang"], dtype=object)
+    return pd.DataFrame({"lang": lang, "source": names[a], "item": names[b], "value": value}, dtype=object).astype({"value": np.int64})
 
 
 def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:

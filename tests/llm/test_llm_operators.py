@@ -157,7 +157,7 @@ def test_chat(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, sf_dir, name):
     with duckdb.connect() as db:
-        for t in ("documents", "conversations"):
+        for t in ("documents", "conversations", "embeddings"):
             db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
         expected = db.sql(ORACLES[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()[list(expected.columns)]
