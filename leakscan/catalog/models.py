@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.catalog.pii import ORACLES as PII_ORACLES
+from leakscan.catalog.pii import outcomes
 from leakscan.catalog.synthesis import incidents as make_incidents
 from leakscan.catalog.tables import joined, requests
 from leakscan.functions.records import preview
@@ -16,7 +17,7 @@ from leakscan.plans.features import FeatureConfig
 from leakscan.plans.scoring import score_file, score_incidents
 from leakscan.session import materialise, work_path
 from leakscan.sources.files import read_csv, write_csv, write_parquet
-from leakscan.streaming.score import scan_stream, score_stream
+from leakscan.streaming.score import read_output, scan_stream, scan_stream_with_rejects, score_stream
 
 KEY = "o_orderkey"
 # One incident table and one trained model per session and data folder: several queries look at the same ones.
@@ -116,6 +117,13 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of the scan as a streaming job."""
+    target, rejects = work_path(spark, "scanned"), work_path(spark, "rejected")
+    scan_stream_with_rejects(_arriving(spark, sf_dir), target, rejects, work_path(spark, "checkpoint"))
+    return outcomes(read_output(spark, target), read_output(spark, rejects))
+
+
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model scoring as a streaming job."""
     target = work_path(spark, "scored")
@@ -133,7 +141,8 @@ QUERIES = {
     "score_csv": score_csv,
     "score_requests": score_requests,
     "stream_scan": stream_scan,
+    "stream_rejects": stream_rejects,
     "stream_score": stream_score,
 }
 
-ORACLES = {"stream_scan": PII_ORACLES["recommend"]}
+ORACLES = {"stream_scan": PII_ORACLES["recommend"], "stream_rejects": PII_ORACLES["reject_records"]}

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from leakscan.catalog.tables import REQUESTS_SQL, documents, joined, requests, table
 from leakscan.functions.detect import MATCH_FIELDS, detected_types, pii_features, pii_matches
 from leakscan.functions.records import RECOMMENDATIONS, preview
-from leakscan.functions.rules import rule_set
+from leakscan.functions.rules import BASE_RULES, rule_set
 from leakscan.operators.findings import pii_findings, with_pii
 from leakscan.operators.profile import pii_prevalence
 from leakscan.operators.records import errors, head, select_like, where_class, with_reject_reason
 from leakscan.operators.parallel import spread
-from leakscan.plans.scoring import scan_messages
+from leakscan.plans.scoring import scan_messages, with_rejects
 
 
 def _report(df: DataFrame, key: str) -> DataFrame:
@@ -92,6 +92,40 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def outcomes(scored: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row per record of either output: what came of it."""
+    told = scored.select(
+        "doc_id", F.lit("scored").alias("outcome"), F.lit(None).cast("string").alias("reject_reason"),
+        "risk_level", F.col("pii_count").cast("long").alias("pii_count"), "recommendation",
+    )
+    return told.unionByName(
+        rejected.select("doc_id", F.lit("rejected").alias("outcome"), "reject_reason"), allowMissingColumns=True
+    )
+
+
+def reject_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of the scan: advice for valid requests, the reason for the others."""
+    return outcomes(*with_rejects(requests(spark, sf_dir), scan_messages))
+
+
+#: A caller's own rules beside two of the built-in ones; plain enough to mean the same in SQL's expressions.
+CUSTOM_RULES = {
+    "card": BASE_RULES["card"],
+    "email": BASE_RULES["email"],
+    "ip_address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "secret": r"(?:api_key|password|token)[=:] ?[A-Za-z0-9_-]{6,}",
+    "licence": r"SPDX-License-Identifier: [A-Za-z0-9.-]+",
+    "money": r"[$][0-9]+",
+}
+
+
+def pii_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a caller's rule map: built-in and further rules, one row per match."""
+    found = pii_findings(documents(spark, sf_dir), "doc_id", "text", CUSTOM_RULES)
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
 def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_like(table(spark, sf_dir, "lineitem"), numeric=True)
 
@@ -164,6 +198,8 @@ QUERIES = {
     "risk_by_source": risk_by_source,
     "validate_records": validate_records,
     "recommend": recommend,
+    "reject_records": reject_records,
+    "pii_custom": pii_custom,
     "numeric_columns": numeric_columns,
     "columns_like": columns_like,
     "class_rows": class_rows,
@@ -217,3 +253,13 @@ FROM lineitem""",
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IS DISTINCT FROM l_linestatus""",
     "head_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3",
 }
+
+_OUTCOMES = f"""WITH a AS ({ORACLES["recommend"]}), q AS ({REQUESTS_SQL})
+SELECT doc_id, 'scored' AS outcome, NULL::VARCHAR AS reject_reason, risk_level, pii_count, recommendation FROM a
+UNION ALL SELECT doc_id, 'rejected', {_REJECT}, NULL, NULL, NULL FROM q WHERE {_REJECT} IS NOT NULL"""
+ORACLES["reject_records"] = _OUTCOMES
+ORACLES["pii_custom"] = "WITH m AS (SELECT doc_id, " + ", ".join(
+    f"regexp_extract_all(coalesce(text, ''), '{p}', 0) AS {r}" for r, p in CUSTOM_RULES.items()
+) + " FROM documents)" + " UNION ALL ".join(
+    f" SELECT doc_id, '{r}' AS pii_type, unnest({r}) AS match, unnest(range(len({r})))::BIGINT AS pos FROM m" for r in CUSTOM_RULES
+)

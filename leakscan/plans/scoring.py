@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ def scan_messages(df: DataFrame, domain: str = COMPANY_DOMAIN, rules: str = "bas
     return with_advice(rated, "incident_type", "severity").drop("pii", "description")
 
 
+def with_rejects(df: DataFrame, job: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both outputs of a job over request records: the responses, and the rejected records as they came with their reason.
+
+    Together they have one row for each record. Both are lazy plans over ``df``, which is read once for each.
+    """
+    return job(df), validate(df)[1]
+
+
 def score_file(spark: SparkSession, source: str, target: str, model: LeakModel, schema=None) -> None:
     """CSV of incidents in, the same rows with both predicted classes out."""
     incidents = read_csv(spark, source, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscan.operators.neighbours import knn
 from leakscan.operators.vectors import DIMENSION, embed_text
 from leakscan.operators.lookup import bounded_lookup
+from leakscan.session import materialise
 from leakscan.sources.vectors import save_vectors
 
 
@@ -24,7 +25,8 @@ def similar_vectors(
     The hits, k per query, are looked up from the corpus side: while they are few they are broadcast and the corpus is
     filtered where it lies.
     """
-    hits = bounded_lookup(knn(corpus, queries, k, id_col, query_id, vector).withColumnRenamed("id", "_hit"))
+    found = knn(corpus, queries, k, id_col, query_id, vector).withColumnRenamed("id", "_hit")
+    hits = bounded_lookup(materialise(found, "hits"), stored=True)  # the search runs once, however many hits there are
     metadata = corpus.drop(vector)
     return metadata.join(hits, F.col("_hit") == F.col(id_col)).drop("_hit")
 
