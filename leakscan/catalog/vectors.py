@@ -11,6 +11,7 @@ from leakscan.operators import neighbours
 from leakscan.operators import vectors as V
 from leakscan.plans.similarity import build_index, find_similar, similar_vectors
 from leakscan.session import work_path
+from leakscan.sources.vector_index import VectorIndex, build_vector_index
 from leakscan.sources.vectors import load_vectors, save_vectors
 
 K = 5
@@ -100,6 +101,41 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.vector_stats(load_vectors(spark, path, V.DIMENSION), metadata="doc_id")
 
 
+def _stored_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """An index over the even ids to which the odd ones have been appended, one of them twice under one name."""
+    e, path = _embeddings(spark, sf_dir), work_path(spark, "vector-index")
+    index = build_vector_index(e.filter("vec_id % 2 = 0"), path, "vec_id")
+    for batch, rest in (("three", 3), ("one", 1), ("three", 3)):
+        index.append(e.filter(F.col("vec_id") % 4 == rest), batch)
+    return VectorIndex(spark, path)
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every vector, found in a stored index that has grown by appends."""
+    asked = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    hits = _stored_index(spark, sf_dir).search(asked, K, metadata=True)
+    return hits.select(
+        "query_id",
+        "id",
+        F.round("distance", 6).alias("distance"),
+        F.round("similarity", 6).alias("similarity"),
+        F.col("rank").cast("long").alias("rank"),
+        "label",
+    )
+
+
+def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per batch of the stored index, and whether all of them lie within the radius that its sizes state."""
+    index = _stored_index(spark, sf_dir)
+    stated = index.sizes().groupBy("batch", "pivot").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"))
+    there = index.rows().groupBy("batch", "pivot").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("rows"))
+    return (
+        stated.join(there, ["batch", "pivot"], "full")
+        .groupBy("batch")
+        .agg(F.sum("rows").alias("n"), F.bool_and((F.col("n") == F.col("rows")) & (F.col("gap") <= F.col("radius"))).alias("as_stated"))
+    )
+
+
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered = V.cluster(_embeddings(spark, sf_dir), k=10, seed=SEED)
     return V.cluster_mix(clustered, "label")
@@ -126,6 +162,8 @@ QUERIES = {
     "vectors_roundtrip": vectors_roundtrip,
     "similar_documents": similar_documents,
     "index_build": index_build,
+    "index_search": index_search,
+    "index_sizes": index_sizes,
     "kmeans": kmeans,
     "project_2d": project_2d,
 }
@@ -135,6 +173,10 @@ ORACLES = {
   rank::BIGINT AS rank FROM t""",
     "knn_similar": f"""{_KNN} SELECT query_label, label, count(*) AS n, round(avg(exp(-distance / 10)), 6) AS mean_similarity
 FROM t GROUP BY ALL""",
+    "index_search": f"""{_KNN} SELECT query_id, id, round(distance, 6) AS distance, round(exp(-distance / 10), 6) AS similarity,
+  rank::BIGINT AS rank, label FROM t""",
+    "index_sizes": """SELECT CASE vec_id % 4 WHEN 1 THEN 'one' WHEN 3 THEN 'three' ELSE 'build' END AS batch, count(*) AS n, true AS as_stated
+FROM embeddings GROUP BY ALL""",
     "cosine_pairs": """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings)
 SELECT a.vec_id, round(array_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""",
     "vector_stats": """SELECT count(embedding) AS total_vectors, max(len(embedding))::BIGINT AS dimension,

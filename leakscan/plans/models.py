@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from leakscan.operators.boosting import BoostedModel, BoostParams, fit_boosted
 from leakscan.operators.metrics import accuracy, class_report, confusion, macro_scores
 from leakscan.operators.sampling import class_weights, stratified_split, with_weight
 from leakscan.plans.features import FeatureConfig, FeatureExtractor, FeatureModel
@@ -28,13 +29,23 @@ PARTS = ("features", "incident_type", "severity", "metrics")
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Forest settings shared by both models. Spark has no boosted multiclass trees with class probabilities."""
+    """Settings shared by both models: a forest, or boosted trees, of which ``trees`` rounds grow one tree per class each."""
 
     trees: int = 40
     depth: int = 8
     max_bins: int = 32
     subset: str = "auto"
     seed: int = 42
+    kind: str = "forest"
+    rate: float = 0.2
+    penalty: float = 1.0
+
+    @classmethod
+    def boosted(cls, trees: int = 30, depth: int = 3, **others) -> TreeParams:
+        return cls(trees=trees, depth=depth, kind="boosted", **others)
+
+
+Classifier = PipelineModel | BoostedModel
 
 
 @dataclass
@@ -42,12 +53,12 @@ class LeakModel:
     """Fitted features, both classifiers and the metrics of training."""
 
     features: FeatureModel
-    incident_type: PipelineModel
-    severity: PipelineModel
+    incident_type: Classifier
+    severity: Classifier
     metrics: dict[str, float] = field(default_factory=dict)
     params: TreeParams = field(default_factory=TreeParams)
 
-    def classifier(self, target: str) -> PipelineModel:
+    def classifier(self, target: str) -> Classifier:
         return {"incident_type": self.incident_type, "severity": self.severity}[target]
 
 
@@ -59,7 +70,10 @@ def check_targets(df: DataFrame, targets: dict[str, str] | None) -> dict[str, st
     return targets
 
 
-def _fit_classifier(df: DataFrame, target: str, column: str, params: TreeParams, weight: str | None) -> PipelineModel:
+def _fit_classifier(df: DataFrame, target: str, column: str, params: TreeParams, weight: str | None) -> Classifier:
+    if params.kind == "boosted":
+        settings = BoostParams(params.trees, params.depth, params.max_bins, params.rate, params.penalty)
+        return fit_boosted(df, column, settings, weight)
     index, prediction = f"{target}_index", f"{target}_prediction"
     indexer = StringIndexer(inputCol=column, outputCol=index, stringOrderType="alphabetAsc").fit(df)
     forest = RandomForestClassifier(
@@ -81,12 +95,12 @@ def _fit_classifier(df: DataFrame, target: str, column: str, params: TreeParams,
     return PipelineModel([model, names])
 
 
-def train_type(features: DataFrame, column: str = "incident_type", params: TreeParams = TreeParams()) -> PipelineModel:
+def train_type(features: DataFrame, column: str = "incident_type", params: TreeParams = TreeParams()) -> Classifier:
     """Unweighted incident-type model over a ``features`` column."""
     return _fit_classifier(features, "incident_type", column, params, None)
 
 
-def train_severity(features: DataFrame, column: str = "severity", params: TreeParams = TreeParams()) -> PipelineModel:
+def train_severity(features: DataFrame, column: str = "severity", params: TreeParams = TreeParams()) -> Classifier:
     """Severity model with balanced class weights over a ``features`` column."""
     weighted = with_weight(features, column, class_weights(features, column), into="class_weight")
     return _fit_classifier(weighted, "severity", column, params, "class_weight")
@@ -145,11 +159,32 @@ def train_metrics(spark: SparkSession, model: LeakModel) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in model.metrics.items()], "metric string, value double")
 
 
+def _apply(classifier: Classifier, df: DataFrame, target: str) -> DataFrame:
+    if isinstance(classifier, BoostedModel):
+        return classifier.transform(df, target, PREDICTED[target])
+    return classifier.transform(df)
+
+
+def log_loss(df: DataFrame, model: LeakModel, targets: dict[str, str] | None = None) -> dict[str, float]:
+    """Mean negative log probability that each model gives to the true class; a class not learnt counts as 1e-15."""
+    targets = check_targets(df, targets)
+    out = model.features.transform(df)
+    losses = []
+    for target, actual in targets.items():
+        classifier = model.classifier(target)
+        labels = classifier.labels if isinstance(classifier, BoostedModel) else classifier.stages[1].getLabels()
+        out = _apply(classifier, out, target)
+        at = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(actual)).cast("int") - 1
+        p = F.get(vector_to_array(f"{target}_probability"), F.when(at >= 0, at))
+        losses.append(F.avg(-F.log(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15)))).alias(target))
+    return out.agg(*losses).first().asDict()
+
+
 def score(df: DataFrame, model: LeakModel, keep_pii: str | None = None) -> DataFrame:
     """Adds predicted class and confidence (largest class probability) of both targets; features are built once."""
     out = model.features.transform(df, keep_pii=keep_pii)
     for target in DEFAULT_TARGETS:
-        out = model.classifier(target).transform(out)
+        out = _apply(model.classifier(target), out, target)
         confidence = F.array_max(vector_to_array(f"{target}_probability"))
         out = out.withColumn(CONFIDENCE[target], confidence)
         out = out.drop(f"{target}_prediction", f"{target}_probability", f"{target}_raw")
@@ -158,7 +193,9 @@ def score(df: DataFrame, model: LeakModel, keep_pii: str | None = None) -> DataF
 
 def importance(spark: SparkSession, model: LeakModel, target: str) -> DataFrame:
     """``(feature, importance)`` with importances that sum to 100."""
-    values = model.classifier(target).stages[0].featureImportances.toArray()
+    classifier = model.classifier(target)
+    boosted = isinstance(classifier, BoostedModel)
+    values = classifier.importances() if boosted else classifier.stages[0].featureImportances.toArray()
     pairs = [(n, float(v) * 100.0) for n, v in zip(model.features.feature_names, values)]
     return spark.createDataFrame(pairs, "feature string, importance double")
 
@@ -172,8 +209,11 @@ def model_info(spark: SparkSession, model: LeakModel) -> DataFrame:
     rows = [("metric", k, str(v)) for k, v in model.metrics.items()]
     rows.append(("features", "n_features", str(len(model.features.feature_names))))
     for target in DEFAULT_TARGETS:
-        params = model.classifier(target).stages[0].extractParamMap()
-        rows += [(target, p.name, str(v)) for p, v in params.items()]
+        classifier = model.classifier(target)
+        if isinstance(classifier, BoostedModel):
+            rows += [(target, name, str(v)) for name, v in asdict(classifier.params).items()]
+        else:
+            rows += [(target, p.name, str(v)) for p, v in classifier.stages[0].extractParamMap().items()]
     return spark.createDataFrame(rows, "kind string, name string, value string")
 
 
@@ -203,8 +243,12 @@ def evaluate(
 def save_model(spark: SparkSession, model: LeakModel, path: str) -> None:
     """Writes features, both classifiers and metrics below one folder."""
     model.features.save(f"{path}/features", spark)
-    model.incident_type.write().overwrite().save(f"{path}/incident_type")
-    model.severity.write().overwrite().save(f"{path}/severity")
+    for target in DEFAULT_TARGETS:
+        classifier = model.classifier(target)
+        if isinstance(classifier, BoostedModel):
+            classifier.save(spark, f"{path}/{target}")
+        else:
+            classifier.write().overwrite().save(f"{path}/{target}")
     info = json.dumps({"metrics": model.metrics, "params": asdict(model.params)})
     spark.createDataFrame([(info,)], "info string").write.mode("overwrite").parquet(f"{path}/metrics")
 
@@ -217,10 +261,9 @@ def load_model(spark: SparkSession, path: str) -> LeakModel:
     if absent:
         raise ValueError(f"model {path} lacks: {', '.join(absent)}")
     info = json.loads(spark.read.parquet(f"{path}/metrics").first()["info"])
-    return LeakModel(
-        FeatureModel.load(spark, f"{path}/features"),
-        PipelineModel.load(f"{path}/incident_type"),
-        PipelineModel.load(f"{path}/severity"),
-        info["metrics"],
-        TreeParams(**info["params"]),
-    )
+    params = TreeParams(**info["params"])
+    if params.kind == "boosted":
+        kinds = [BoostedModel.load(spark, f"{path}/{t}") for t in DEFAULT_TARGETS]
+    else:
+        kinds = [PipelineModel.load(f"{path}/{t}") for t in DEFAULT_TARGETS]
+    return LeakModel(FeatureModel.load(spark, f"{path}/features"), *kinds, info["metrics"], params)
