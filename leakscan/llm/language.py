@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import batch, blocks, fold, table, text_bytes
+from leakscan.llm.common import batch, fold, spans, table, text_bytes
 from leakscan.llm.lattice import Lattice, public_pieces
 from leakscan.llm.pieces import BLOCK, learn
 
@@ -33,7 +34,7 @@ from leakscan.llm.pieces import BLOCK, learn
 ROWS_PER_LANGUAGE = 2_000
 ROUNDS = 3
 #: Bytes of text whose distinct words are segmented at a time; bounds the table of word scores.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 3_000_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -94,30 +95,30 @@ def fit(
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
     """Per row: the columns ``keep``, lang_pred, score (posterior of the prediction, 0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.lattice.state(), model.weights, model.prior))
-    kept = {name: f"k{i}" for i, name in enumerate(keep)}
-    rows = docs.select(
-        F.struct(*(F.col(f"`{name}`").alias(k) for name, k in kept.items())).alias("kept"), text_bytes(text).alias("text")
-    )
+    columns = [*keep, *([text] if text not in keep else [])]  # a text travels once, whether it is kept or not
+    kept = {name: f"k{i}" for i, name in enumerate(columns)}
+    rows = docs.select(F.struct(*(F.col(f"`{name}`").alias(k) for name, k in kept.items())).alias("kept"))
+    at = columns.index(text)
 
     def tell(batches):
         languages, state, weights, prior = shared.value
         known = LanguageModel(languages, Lattice.of(state), weights, prior)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            names, scores = [], []
-            for i, j in blocks(texts, BLOCK_BYTES):
-                for row in _posteriors(texts[i:j], known):
+            whole = b.column("kept").field(at).cast(pa.binary())
+            for i, j in spans(pc.binary_length(whole).fill_null(0).to_numpy(zero_copy_only=False), BLOCK_BYTES):
+                names, scores = [], []
+                for row in _posteriors([t or b"" for t in whole.slice(i, j - i).to_pylist()], known):
                     best = int(row.argmax()) if row is not None else None
                     names.append(UNDETERMINED if best is None else known.languages[best])
                     scores.append(0.0 if best is None else float(row[best]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("kept"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["kept", "lang_pred", "score"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("kept").slice(i, j - i), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    names=["kept", "lang_pred", "score"],
+                )
 
     kind = rows.schema["kept"].dataType.simpleString()
     return rows.mapInArrow(tell, f"kept {kind}, lang_pred string, score double").select(
-        *(F.col(f"kept.{k}").alias(name) for name, k in kept.items()), "lang_pred", "score"
+        *(F.col(f"kept.{kept[name]}").alias(name) for name in keep), "lang_pred", "score"
     )
 
 
