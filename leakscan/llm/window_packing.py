@@ -253,13 +253,16 @@ def pack(
     if plan.loose:
         cut = F.col("length").isin(list(plan.loose))
         narrow = made.filter(cut).unionByName(narrow.filter(~cut))
-    ranked = narrow.join(starts, ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
-    shared = docs.sparkSession.sparkContext.broadcast(plan)
+    # The starts grow with the tasks, so they are never broadcast.
+    ranked = narrow.join(starts.hint("merge"), ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(plan))  # arrays only: a class would have to be installed there
 
     def assign(batches):
+        known = Plan.__new__(Plan)
+        known.__dict__.update(shared.value)
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            row, head, size, sequence, offset = shared.value.place(length.astype(np.int64), rank.astype(np.int64))
+            row, head, size, sequence, offset = known.place(length.astype(np.int64), rank.astype(np.int64))
             at = pa.array(row)
             start, crc, raw = (b.column(c).take(at) for c in ("start", "ids_crc32", "ids"))
             crc = crc.to_numpy(zero_copy_only=False).copy()
