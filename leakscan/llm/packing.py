@@ -21,10 +21,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import blocks, table, text_bytes
+from leakscan.llm.common import spans, table, text_bytes
 from leakscan.llm.word_bpe import WordBpe
 from leakscan.session import materialise
 
@@ -32,7 +33,7 @@ CAPACITY = 4096
 #: Pieces of one length that are ranked in one task.
 RANKED = 100_000
 #: Bytes of text encoded at a time.
-BLOCK = 24_000_000
+BLOCK = 8_000_000
 
 
 class _Lengths:
@@ -173,10 +174,11 @@ def pieces(
         if "bpe" not in worker:
             worker["bpe"] = WordBpe(worker["path"])
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in blocks(texts, BLOCK):
+            column = b.column("text")
+            for i, j in spans(pc.binary_length(column).to_numpy(), BLOCK):
                 of, number, ids = [], [], []
-                for r, whole in enumerate(worker["bpe"].encode([t.decode("utf-8", "replace") for t in texts[i:j]])):
+                texts = [t.decode("utf-8", "replace") for t in column.slice(i, j - i).to_pylist()]
+                for r, whole in enumerate(worker["bpe"].encode(texts)):
                     whole += last
                     for k in range(0, len(whole), width):
                         of.append(i + r)

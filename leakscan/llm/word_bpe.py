@@ -18,8 +18,12 @@ PLAIN_BELOW, LONGEST = "ɐ", 64
 _NONE = np.int32(2**31 - 1)
 
 
+#: Bytes that the tables of words and runs may take before they are emptied; Python's overhead for an entry.
+TABLE_BYTES, _ENTRY = 220_000_000, 200
+
+
 class WordBpe:
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -40,13 +44,14 @@ class WordBpe:
             p["pattern"]["Regex"] for p in model["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"
         )
         self._runs = regex.compile(pattern)
-        self._entries, self._words, self._parts = entries, {}, {}
+        self._most, self._bytes, self._words, self._parts = table_bytes, 0, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self._words) > self._entries:
+        if self._bytes > self._most:
             self._words.clear()
             self._parts.clear()
+            self._bytes = 0
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn({w for w in set().union(*cut) if w not in self._words})
         return [b"".join(map(self._words.__getitem__, words)) for words in cut]
@@ -64,12 +69,14 @@ class WordBpe:
                     plain[w] = runs
         for w, e in zip(other, self.library.encode_batch(other, add_special_tokens=False), strict=True):
             self._words[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self._bytes += 5 * len(w) + _ENTRY
         by_length = defaultdict(list)
         for run in {r for runs in plain.values() for r in runs if r not in self._parts}:
             raw = run.encode()
             by_length[len(raw)].append((run, raw))
         for length, pairs in by_length.items():
-            step = max(1, 2_000_000 // length)
+            self._bytes += len(pairs) * (5 * length + _ENTRY)
+            step = max(1, 400_000 // length)
             for i in range(0, len(pairs), step):
                 part = pairs[i : i + step]
                 flat = np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8).reshape(len(part), length)
@@ -77,6 +84,7 @@ class WordBpe:
                     raw, width = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
                     self._parts.update((part[r][0], raw[k * width : (k + 1) * width]) for k, r in enumerate(rows.tolist()))
         parts = self._parts
+        self._bytes += sum(map(len, plain)) * 2 + len(plain) * _ENTRY
         self._words.update((w, b"".join(map(parts.__getitem__, runs))) for w, runs in plain.items())
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
