@@ -7,11 +7,13 @@ frame, offset in the decompressed frame and length; so one record is read by its
 Of records with equal payloads the one with the largest key is a response, the others are revisits that refer to it: their
 block holds the HTTP header, with the payload's length, and no payload.
 
-Plan: the winner of each payload digest comes from one partial aggregation; the join on the digest deals out the pages, and
-AQE splits a digest with many copies. Each task writes its own bundles below the shared folder and returns index rows, so
+Plan: names (digest, key, URL, how many rows are equal) are aggregated and told their winner without payloads and written; the
+join on all three deals out the pages, so a payload with many copies is no hot key. Each task writes its own bundles below the shared folder and returns index rows, so
 Spark's commit of the index decides which files count: a task that is run again writes other files.
 
-Cases: null payload: empty. Equal payloads with equal keys: ordered by URL; rows equal in all three are all responses. Null key: smallest.
+Cases: null payload: empty. Equal payloads with equal keys: ordered by URL; of rows equal in all three one is the response, the
+others revisit it. Rows with a key of their own are named by it, others by key, digest, URL and number, so that all names differ.
+Null key: smallest.
 Records are only held one frame at a time. Control characters of URLs are percent-encoded in the header.
 """
 
@@ -32,8 +34,12 @@ from leakscan.session import materialise, work_path
 
 #: Decompressed bytes from which on a frame is closed, and compressed bytes from which on a bundle is.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: Decompressed bytes that a task reads back.
+READ_BYTES = 256 << 20
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
+#: What ids of records begin with.
+PAGE = "urn:x-page:"
 #: Fixed values of the file formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -161,9 +167,25 @@ def parse_record(raw: bytes) -> Record:
     return Record(headers, payload, len(payload))
 
 
-def record_id(key) -> str:
-    """Id of the record of a page, readable back by ``page_key``; rows of equal keys get ids of their own in the index."""
-    return f"urn:x-page:{'' if key is None else key}"
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark understands it, with its scheme, so that tasks do not take a path of a shared system for a local one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """digest, key, url, copies, record_id, refers_to (id of the winner, null for itself): one row for equal rows, without payloads."""
+    equal = rows.groupBy("digest", "key", "url").agg(F.count(F.lit(1)).alias("copies"))
+    alone = equal.groupBy("key").agg((F.sum("copies") == 1).alias("alone")).withColumnRenamed("key", "alone_key")
+    own = F.concat(F.lit(PAGE), F.coalesce(F.col("key").cast("string"), F.lit("")))
+    told = F.concat_ws("#", own, F.concat_ws("-", "digest", F.md5(F.col("url").cast("binary"))))
+    named = equal.join(alone, F.col("key").eqNullSafe(F.col("alone_key"))).select(
+        "digest", "key", "url", "copies", F.when(F.col("alone"), own).otherwise(told).alias("record_id")
+    )
+    winners = named.groupBy("digest").agg(F.max(F.struct("key", "url", "record_id")).alias("winner"))
+    refers = F.when(F.col("record_id") != F.col("winner.record_id"), F.col("winner.record_id"))
+    return named.join(winners, "digest").select("digest", "key", "url", "copies", "record_id", refers.alias("refers_to"))
 
 
 def write_archive(pages: DataFrame, key: str, url: str, payload: str, folder: str) -> DataFrame:
@@ -173,22 +195,35 @@ def write_archive(pages: DataFrame, key: str, url: str, payload: str, folder: st
         F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("url"),
         text_bytes(payload).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    winners = rows.groupBy("digest").agg(F.max(F.struct("key", "url")).alias("winner"))
-    tagged = rows.join(winners, "digest").select(
-        "key",
-        "url",
-        "payload",
-        F.when(F.struct("key", "url").eqNullSafe(F.col("winner")), F.lit(None)).otherwise(F.col("winner.key")).alias("refers_to"),
-    )
+    names = materialise(_names(rows), "warc-names")
+
+    def tag(few: DataFrame) -> DataFrame:
+        few = few.withColumnsRenamed({"digest": "name_digest", "key": "name_key", "url": "name_url"})
+        same = (F.col("digest") == F.col("name_digest")) & F.col("key").eqNullSafe(F.col("name_key")) & (F.col("url") == F.col("name_url"))
+        return rows.join(few, same).select("record_id", "url", "payload", "refers_to", "copies")
+
+    tagged = tag(names.filter("copies = 1")).drop("copies")
+    repeated = names.filter("copies > 1")
+    if not repeated.isEmpty():  # equal rows are taken once and numbered; a further reading that other tables do not need
+        once = tag(repeated).dropDuplicates(["record_id"]).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        first = F.col("number") == 0
+        tagged = tagged.unionByName(
+            once.select(
+                F.when(first, F.col("record_id")).otherwise(F.concat_ws("-", "record_id", "number")).alias("record_id"),
+                "url",
+                "payload",
+                F.when(first, F.col("refers_to")).otherwise(F.coalesce("refers_to", "record_id")).alias("refers_to"),
+            )
+        )
+    folder = _qualified(pages.sparkSession, folder)
 
     def write(batches):
         writer = BundleWriter(folder)
         found = []
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in ("key", "url", "payload", "refers_to"))
-            for k, u, body, refers in zip(*columns, strict=True):
-                own = record_id(k)
-                record = record_bytes(own, u, body, payload_digest(body), None if refers is None else record_id(refers))
+            columns = (b.column(c).to_pylist() for c in ("record_id", "url", "payload", "refers_to"))
+            for own, u, body, refers in zip(*columns, strict=True):
+                record = record_bytes(own, u, body, payload_digest(body), refers)
                 found.append((own, *writer.add(record)))
         writer.close()  # before the index rows leave: an index row is never without its file
         for i in range(0, len(found), 10_000):
@@ -243,13 +278,17 @@ def read_archive(index: DataFrame) -> DataFrame:
         if reader:
             reader.close()
 
-    ordered = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    size = index.agg(F.sum("length"), F.count_distinct("bundle")).first()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    # a number of our own: the rows of the index say nothing of the bytes behind them, by which AQE would merge partitions
+    parts = max(-(-(size[0] or 0) // READ_BYTES), min(size[1], 2 * cores), 1)
+    ordered = index.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame", "offset")
     return ordered.mapInArrow(read, schema)
 
 
 def page_key(column: str):
     """The page's key from a record id, null for none."""
-    return F.expr(f"try_cast(nullif(substring({column}, {len('urn:x-page:') + 1}), '') as bigint)")
+    return F.expr(f"try_cast(nullif(substring_index(substring({column}, {len(PAGE) + 1}), '#', 1), '') as bigint)")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,24 @@ def test_pages(spark, tmp_path):
     assert warc.read_archive(warc.write_archive(pages.limit(0), "page_id", "url", "html", str(tmp_path / "e"))).count() == 0
 
 
+def test_archive_of_equal_rows(spark, tmp_path):
+    """Of equal rows one is the response, names differ, and rows that share only their key keep their own payloads."""
+    rows = [(1, "http://a/", "same")] * 3 + [(1, "http://a/", "other"), (None, None, "same"), (None, None, None), (None, None, ""), (5, "http://b/", "new")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    back = warc.read_archive(warc.write_archive(pages.repartition(5), "page_id", "url", "html", str(tmp_path / "w"))).collect()
+    names = {r["record_id"]: r for r in back}
+    assert len(names) == len(back) == len(rows) and "urn:x-page:5" in names
+    by_text = defaultdict(list)
+    for r in back:
+        by_text[r["payload_digest"]].append(r)
+    assert sorted(len(g) for g in by_text.values()) == [1, 1, 2, 4]
+    for group in by_text.values():
+        (response,) = (r for r in group if r["record_type"] == "response")
+        assert all(r["refers_to"] == response["record_id"] for r in group if r is not response)
+    (told,) = (r for r in back if r["payload"] == b"same")
+    assert told["record_id"].startswith("urn:x-page:1#")
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"),
             (None, None, None, "[INST] \\ y"), (3, 5, "tool", "z" * 100_000)]
