@@ -9,7 +9,7 @@ Plan: documents are dealt in ranges of the id, so that a document and the next o
 shuffled once. The last document of each range meets the first of the next in a small second step.
 
 Cases: null or empty text, and fewer than three bytes: no triplets, all buckets 0. Equal texts have equal digests and likeness
-1. Equal ids: ordered by text. Null ids come first. A single document is its own next one. Repeated rows: each is fingerprinted.
+1. Equal ids: ordered by a hash of the text, then by text. Null ids come first. A single document is its own next one. Repeated rows: each is fingerprinted.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ _COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_finge
 
 def compare_neighbours(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
-    rows = in_order(docs.select(F.col(f"`{key}`").alias("key"), text_bytes(text).alias("text")), ["key", "text"])
+    rows = in_order(docs.select(F.col(f"`{key}`").alias("key"), text_bytes(text).alias("text")), ["key"], long="text")
     kind = rows.schema["key"].dataType.simpleString()
 
     def walk(batches):

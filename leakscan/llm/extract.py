@@ -165,7 +165,8 @@ def extract(pages: DataFrame, key: str, url: str = "url", markup: str = "html")
             F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
             text_bytes(markup).alias("raw"),
         ),
-        ["host", "path", "url", "key", "raw"],
+        ["host", "path", "url", "key"],
+        long="raw",
     )
     kind = rows.schema["key"].dataType.simpleString()
 

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_order(df: DataFrame, keys: list) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], long: str) -> DataFrame:
     """Range partitions in the order of ``keys``, each sorted, with the number ``part`` of the partition.
 
+    Rows equal in all keys are ordered by a 64-bit hash of the column ``long``, then by the column itself. Ranges are drawn on
+    keys and hash: Spark samples what it draws ranges on to the driver, and long values have no business there.
+
     Neighbours meet in one task but for the last and first rows of adjacent partitions, of which there is one each. The
     number of partitions is the session's number of shuffle partitions.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    by = [*keys, F.xxhash64(long)]
+    return df.repartitionByRange(n, *by).sortWithinPartitions(*by, long).withColumn("part", F.spark_partition_id())
 
 
 def following(parts: DataFrame, wrap: bool = False) -> DataFrame:
