@@ -5,13 +5,21 @@ hash orders the text's smallest labelled shingles are taken and put back into te
 only if they share these shingles in the same order. A sample is taken at several depths (4, 8, 16 shingles). Texts that agree
 at the first depth share a bucket; buckets are read in the order of the deeper samples, so in a large bucket the most
 alike texts are neighbours. Within overlapping windows of a bucket a maximum spanning forest over the agreement of the
-samples proposes pairs: at most one fewer than there are texts, never all pairs, and enough to connect what is
-alike. Proposed pairs are aligned on their shingles within the band that the wanted similarity allows, and linked if
-(common in order) / (either) reaches it. Links are closed to classes by alternating large and small stars.
+samples proposes pairs: at most one fewer than there are texts. Proposed pairs are aligned on their shingles within the band
+that the wanted similarity allows, and linked if (common in order) / (either) reaches it. Links are closed to classes by
+alternating large and small stars.
+
+Windows and failed pairs leave links out, so texts meet again: in every bucket that still holds several classes all texts of
+different classes are held against each other by their agreement, a few pairs of two classes first, then more, at last
+every pair that was not aligned yet. After that no two texts of different classes that share a bucket and agree enough are
+untried, so classes depend neither on windows nor on partitions; what sampling itself may miss (a pair at the
+similarity shares no bucket once in some 300 000 times, agrees too little once in some 5 000) is all that can be lost.
 
 Plan: copies of a text are one row from the first aggregation on (partial, so a much copied text is no hot key). Samples go through
-one range partitioning by the bucket and the deeper samples, which splits a large bucket over tasks. The text is
-read a second time for proposed texts only, one row per text. Nothing goes through the driver but counts.
+one range partitioning by the bucket and the deeper samples, which splits a large bucket over tasks. Where texts meet again a large
+bucket is cut into blocks by a hash of the id, and a task holds two blocks against each other; what that takes grows
+with the square of the texts of a bucket that are not yet of one class. Texts are read again for proposed texts only, one row per
+text. Nothing goes through the driver but counts.
 
 Cases: texts without words (null, empty, white space) are each a class of their own. Fewer than five words: all of them are one
 shingle. Case of A-Z and white space do not count. Repeated rows are copies. Null ids belong to classes like others; the
@@ -37,6 +45,10 @@ SAMPLES, DEPTHS = 24, (4, 8, 16)
 AGREEMENT = 0.5
 #: Texts of a bucket that are compared with each other; windows overlap by half.
 WINDOW = 128
+#: Texts of a block where the texts of a bucket meet again.
+BLOCK = 4096
+#: Pairs of two classes that a block proposes in each round; none: all.
+ROUNDS = (4, 64, None)
 #: Shingles that are hashed at a time.
 STEP = 1 << 15
 _DRAW = np.random.default_rng(20240229)
@@ -247,18 +259,139 @@ def _windows(start: int, end: int) -> Iterator[slice]:
         start += WINDOW // 2
 
 
-def links(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """a, b: ids of different texts that reach the similarity. ``texts``: id, key (of one row of the text), samples."""
+def _across(batches, most: int | None):
+    """Pairs of different classes from rows sorted by group (bucket, low, high); a row without ids says that pairs were left out.
+
+    In a group of one block all texts meet, in a group of two those of one block meet those of the other.
+    """
+    least = int(AGREEMENT * SAMPLES)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    group = ["bucket", "low", "high"]
+
+    def pairs(rows: pa.Table):
+        count, two = len(rows), rows["low"][0].as_py() != rows["high"][0].as_py()
+        own = rows["block"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        own, ids = own[order], rows["id"].to_pylist()
+        signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype=np.uint8).reshape(count, SAMPLES)[order]
+        codes = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()[order]
+        several = int(codes.max()) + 1
+        if several == 1:
+            return
+        met = None if most is None or several == count else np.zeros((several, several), dtype=np.uint8)
+        split = int(np.searchsorted(own, own[0], side="right")) if two else count - 1
+        found: list[tuple] = []
+        short = False
+        for i in range(split if not two or split < count else 0):
+            start = split if two else i + 1
+            agree = (signatures[start:] == signatures[i]).sum(axis=1, dtype=np.int8)
+            hits = np.flatnonzero((agree >= least) & (codes[start:] != codes[i]))
+            if not len(hits):
+                continue
+            if met is not None:
+                hits = hits[np.argsort(-agree[hits], kind="stable")]
+                classes_, best = np.unique(codes[start + hits], return_index=True)
+                low, high = np.minimum(classes_, codes[i]), np.maximum(classes_, codes[i])
+                free = met[low, high] < most
+                met[low[free], high[free]] += 1
+                short |= int(free.sum()) < len(hits)
+                hits = hits[best[free]]
+            one = ids[order[i]]
+            for j in hits.tolist():
+                other = ids[order[start + j]]
+                found.append((one, other) if one < other else (other, one))
+            if len(found) > 100_000:
+                yield found
+                found = []
+        yield found + [(None, None)] * short
+
+    def told(rows: pa.Table):
+        for found in pairs(rows):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        if held:
+            last = held[-1].slice(len(held[-1]) - 1, 1)
+            if any(last.column(c)[0] != b.column(c)[0] for c in group):
+                yield from told(pa.Table.from_batches(held))
+                held = []
+        marks = [b.column(c).to_numpy() for c in group]
+        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+        start = 0
+        for cut in cuts.tolist():
+            yield from told(pa.Table.from_batches([*held, b.slice(start, cut - start)]))
+            held, start = [], cut
+        held.append(b.slice(start))
+    if held:
+        yield from told(pa.Table.from_batches(held))
+
+
+def _first_keys(batches):
+    """Each text once for each of its buckets, with its class."""
+    for b in batches:
+        count = len(b)
+        raw = np.frombuffer(b"".join(b.column("samples").to_pylist()), dtype=np.uint8).reshape(count, -1)
+        keys = np.ascontiguousarray(raw[:, : SAMPLES * 8]).view(np.int64)
+        signature = pa.array([x.tobytes() for x in raw[:, len(DEPTHS) * SAMPLES * 8 :]], pa.binary())
+        index = pa.array(np.repeat(np.arange(count), SAMPLES))
+        columns = (b.column("id").take(index), b.column("root").take(index), signature.take(index))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *columns], names=["bucket", "id", "root", "signature"])
+
+
+def meet_again(texts: DataFrame, roots: DataFrame, most: int | None) -> DataFrame:
+    """a, b: pairs of texts of different classes that share a bucket and agree; a row of nulls if some were left out."""
+    rooted = texts.select("id", "samples").join(roots, F.col("id") == F.col("member"), "left")
+    rows = rooted.select("id", F.coalesce("root", "id").alias("root"), "samples").mapInArrow(
+        _first_keys, "bucket long, id binary, root binary, signature binary"
+    )
+    mark = F.xxhash64("root")
+    several = rows.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count(F.lit(1)).alias("count"))
+    several = materialise(several.filter("least <> most").select(F.col("bucket").alias("open"), "count"), "open-buckets")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    dealt = rows.join(several, F.col("bucket") == F.col("open")).select(
+        "bucket", "id", "root", "signature", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
+    )
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "signature"
+    )
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["bucket", "low", "high"]
+    ordered = dealt.repartition(parts, *group).sortWithinPartitions(*group)
+    return ordered.mapInArrow(lambda batches: _across(batches, most), "a binary, b binary").distinct()
+
+
+def closed(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """member, root of the classes of all texts. ``texts``: id, key (of one row of the text), samples."""
+    tried = materialise(windowed(texts), "proposed")
+    roots = components(verify(docs, texts, tried, key, text, similarity))
+    for most in ROUNDS:
+        met = materialise(meet_again(texts, roots, most), "met")
+        pairs = met.filter("a is not null").join(tried, ["a", "b"], "left_anti")
+        new = materialise(pairs, "met-new")
+        if not new.isEmpty():
+            links = verify(docs, texts, new, key, text, similarity)
+            roots = components(roots.toDF("a", "b").unionByName(links))
+            tried = tried.unionByName(new)
+        if met.filter("a is null").isEmpty():
+            break
+    return roots
+
+
+def windowed(texts: DataFrame) -> DataFrame:
+    """a, b: pairs proposed by the forests of the windows of sorted buckets."""
     rows = texts.select("id", "samples").mapInArrow(_buckets, "k0 long, k1 long, k2 long, id binary, signature binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["k0", "k1", "k2", "id"]
-    proposed = materialise(
-        rows.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(_proposals, "a binary, b binary")
-        .distinct(),
-        "proposed",
-    )
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(_proposals, "a binary, b binary").distinct()
+
+
+def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """Those of the pairs a, b of ids of texts that reach the similarity."""
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "key"), "id")
     given = docs.select(_identity(text).alias("id"), F.col(f"`{key}`").alias("doc_key"), text_bytes(text).alias("text"))
     found = given.join(wanted.withColumnRenamed("id", "want"), (F.col("id") == F.col("want")) & F.col("doc_key").eqNullSafe(F.col("key")), "left_semi")
@@ -316,7 +449,7 @@ def classes(docs: DataFrame, key: str, text: str = "text", similarity: float = S
         words.groupBy("id").agg(first.alias("low"), F.first("samples").alias("samples")).select("id", "low.key", "samples"),
         "texts",
     )
-    roots = components(links(docs, texts, key, text, similarity))
+    roots = closed(docs, texts, key, text, similarity)
     rooted = texts.select("id", "key").join(roots, F.col("id") == F.col("member"), "left")
     rooted = rooted.select("id", "key", F.coalesce("root", "id").alias("root"))
     keepers = rooted.groupBy("root").agg(

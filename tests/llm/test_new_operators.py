@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from leakscan.llm import byte_chunks, divergence, vector_codes, window_packing, word_sort
+from leakscan.llm import byte_chunks, divergence, order_minhash, vector_codes, window_packing, word_sort
 from leakscan.llm.queries import QUERIES
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -246,3 +246,49 @@ def test_window_query(spark, sf_dir, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     padding, tokens = _check_windows(QUERIES["op13_windows"](spark, sf_dir).collect(), texts, library, 2048)
     assert padding <= tokens / 100
+
+
+def _groups(count, members, seed):
+    """Texts of 400 words: groups of near copies around a common base, whose groups are nearly alike too."""
+    rng = np.random.default_rng(seed)
+
+    def changed(words, edits):
+        out = list(words)
+        for at in rng.choice(len(out), edits, replace=False):
+            out[at] = f"new{rng.integers(1 << 40)}"
+        return out
+
+    base = [f"w{rng.integers(1 << 40)}" for _ in range(400)]
+    centres = [changed(base, int(rng.integers(3, 6))) for _ in range(count)]
+    return [" ".join(changed(c, int(rng.integers(1, 5)))) for c in centres for _ in range(members)]
+
+
+@pytest.mark.parametrize("parts,block", [(1, 4096), (8, 64)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, parts, block):
+    texts = _groups(16, 20, 5)
+    shingles = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    number: dict = {}
+    for x in shingles:
+        for y in x:
+            number.setdefault(y, len(number))
+    has = np.zeros((len(texts), len(number)), dtype=np.float32)
+    for i, x in enumerate(shingles):
+        has[i, [number[y] for y in x]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    alike = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-3
+    root = np.arange(len(texts))
+    while True:
+        low = np.where(alike, root[None, :], len(texts)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    assert 1 < len(set(root.tolist())) < len(texts)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        told = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(docs, "doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [told[i] for i in range(len(texts))] == root.tolist()

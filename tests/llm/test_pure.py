@@ -2,6 +2,8 @@
 
 import random
 import re
+import tracemalloc
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +39,18 @@ def test_alignment(a, b, band):
     pairs = common_lines(a, b)
     assert len(pairs) == _lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
     assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
-    assert banded_common(a, b, band) == _lcs(a, b, band)
+    for few in (0, 8, 10**9):  # rows of bits, either, equal pairs
+        with mock.patch("leakscan.llm.align.FEW", few):
+            assert banded_common(a, b, band) == _lcs(a, b, band)
+
+
+def test_alignment_of_long_texts_is_linear():
+    a = np.random.default_rng(3).permutation(500_000).tolist()
+    b = [-1, *a[1:-1], -2]
+    tracemalloc.start()
+    assert banded_common(a, b, 111_000) == len(a) - 2
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
 
 
 def test_lattice():
