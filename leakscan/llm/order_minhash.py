@@ -10,8 +10,8 @@ that the wanted similarity allows, and linked if (common in order) / (either) re
 alternating large and small stars.
 
 Windows and failed pairs leave links out, so texts meet again: in every bucket that still holds several classes all texts of
-different classes are held against each other by their agreement, a few pairs of two classes first, then more, at last
-every pair that was not aligned yet. After that no two texts of different classes that share a bucket and agree enough are
+different classes are held against each other by their agreement, a few pairs of two classes first, then every pair that
+was not aligned yet. After that no two texts of different classes that share a bucket and agree enough are
 untried, so classes depend neither on windows nor on partitions; what sampling itself may miss (a pair at the
 similarity shares no bucket once in some 300 000 times, agrees too little once in some 5 000) is all that can be lost.
 
@@ -48,7 +48,7 @@ WINDOW = 128
 #: Texts of a block where the texts of a bucket meet again.
 BLOCK = 4096
 #: Pairs of two classes that a block proposes in each round; none: all.
-ROUNDS = (4, 64, None)
+ROUNDS = (8, None)
 #: Shingles that are hashed at a time.
 STEP = 1 << 15
 _DRAW = np.random.default_rng(20240229)
@@ -373,8 +373,9 @@ def closed(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: f
         pairs = met.filter("a is not null").join(tried, ["a", "b"], "left_anti")
         new = materialise(pairs, "met-new")
         if not new.isEmpty():
-            links = verify(docs, texts, new, key, text, similarity)
-            roots = components(roots.toDF("a", "b").unionByName(links))
+            links = materialise(verify(docs, texts, new, key, text, similarity), "met-links")
+            if not links.isEmpty():
+                roots = components(roots.toDF("a", "b").unionByName(links))
             tried = tried.unionByName(new)
         if met.filter("a is null").isEmpty():
             break
@@ -393,6 +394,7 @@ def windowed(texts: DataFrame) -> DataFrame:
 def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """Those of the pairs a, b of ids of texts that reach the similarity."""
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "key"), "id")
+    wanted = materialise(wanted, "wanted")  # of known size: few are broadcast, and no text is shuffled for them
     given = docs.select(_identity(text).alias("id"), F.col(f"`{key}`").alias("doc_key"), text_bytes(text).alias("text"))
     found = given.join(wanted.withColumnRenamed("id", "want"), (F.col("id") == F.col("want")) & F.col("doc_key").eqNullSafe(F.col("key")), "left_semi")
 
