@@ -181,7 +181,8 @@ def _aligned(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
 
 
 def _identity(text: str):
-    return F.when(F.length(F.trim(F.regexp_replace(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+", " "))) > 0, F.unhex(F.md5(text_bytes(text))))
+    """Digest of a text, null without words; the search for one ends at the first character of a word."""
+    return F.when(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text_bytes(text))))
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -395,7 +396,11 @@ def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, tex
     """Those of the pairs a, b of ids of texts that reach the similarity."""
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "key"), "id")
     wanted = materialise(wanted, "wanted")  # of known size: few are broadcast, and no text is shuffled for them
-    given = docs.select(_identity(text).alias("id"), F.col(f"`{key}`").alias("doc_key"), text_bytes(text).alias("text"))
+    # By key first, so that only wanted texts are hashed; a key may be that of other texts too.
+    keys = wanted.select(F.col("key").alias("want_key")).distinct()
+    near = docs.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("given"))
+    near = near.join(keys, F.col("doc_key").eqNullSafe(F.col("want_key")), "left_semi")
+    given = near.select(_identity("given").alias("id"), "doc_key", text_bytes("given").alias("text"))
     found = given.join(wanted.withColumnRenamed("id", "want"), (F.col("id") == F.col("want")) & F.col("doc_key").eqNullSafe(F.col("key")), "left_semi")
 
     def cut(batches):
