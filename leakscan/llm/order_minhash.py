@@ -218,11 +218,28 @@ def _buckets(batches):
         )
 
 
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_SHARED = pa.schema([("bucket", pa.int64()), ("id", pa.binary()), ("signature", pa.binary())])
+
+
+def _sides(pairs: pa.RecordBatch | None, rows: pa.RecordBatch | None) -> pa.RecordBatch:
+    """Pairs, or rows of shared buckets, as a batch of both; the other side is null."""
+    count = len(pairs if rows is None else rows)
+    columns = [
+        *(pairs.columns if pairs is not None else [pa.nulls(count, f.type) for f in _PAIR]),
+        *(rows.columns if rows is not None else [pa.nulls(count, f.type) for f in _SHARED]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[*_PAIR.names, *_SHARED.names])
+
+
 def _proposals(batches):
-    """Pairs from sorted bucket rows; holds a window of the bucket at hand."""
+    """Pairs from sorted bucket rows, and the rows of buckets that several texts share; holds a window of the bucket at hand.
+
+    The first and the last bucket of a partition may go on in the next one, so their rows are told even if they are alone.
+    """
     least = int(AGREEMENT * SAMPLES)
     held: tuple[list, list, list] = ([], [], [])
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    first = last = lone = None  # buckets of the partition's first and of the latest row; that row, if not told yet
 
     def pairs(ids, signatures):
         if len(ids) > 1:
@@ -230,8 +247,26 @@ def _proposals(batches):
             for i, j in forest(matrix, least):
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
+    def told(found):
+        return _sides(pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=_PAIR), None)
+
     for b in batches:
-        bucket = np.r_[np.array(held[0], dtype=np.int64), b.column("k0").to_numpy()]
+        if not len(b):
+            continue
+        own = b.column("k0").to_numpy()
+        rows = pa.RecordBatch.from_arrays([b.column("k0"), b.column("id"), b.column("signature")], schema=_SHARED)
+        shared = np.r_[own[1:] == own[:-1], False] | np.r_[False, own[1:] == own[:-1]]
+        if first is None:
+            first = own[0]
+        shared |= own == first
+        if own[0] == last:
+            shared |= own == last
+            if lone is not None:
+                yield _sides(None, lone)
+        last, lone = own[-1], None if shared[-1] else rows.slice(len(rows) - 1)
+        if shared.any():
+            yield _sides(None, rows.filter(pa.array(shared)))
+        bucket = np.r_[np.array(held[0], dtype=np.int64), own]
         ids, signatures = held[1] + b.column("id").to_pylist(), held[2] + b.column("signature").to_pylist()
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         ends = np.r_[starts[1:], len(bucket)]
@@ -246,10 +281,12 @@ def _proposals(batches):
             s += WINDOW // 2
         held = (bucket[s:].tolist(), ids[s:], signatures[s:])
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=schema)
+            yield told(found)
+    if lone is not None:
+        yield _sides(None, lone)
     found = set(pairs(held[1], held[2]))
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=schema)
+        yield told(found)
 
 
 def _windows(start: int, end: int) -> Iterator[slice]:
@@ -331,24 +368,13 @@ def _across(batches, most: int | None):
         yield from told(pa.Table.from_batches(held))
 
 
-def _first_keys(batches):
-    """Each text once for each of its buckets, with its class."""
-    for b in batches:
-        count = len(b)
-        raw = np.frombuffer(b"".join(b.column("samples").to_pylist()), dtype=np.uint8).reshape(count, -1)
-        keys = np.ascontiguousarray(raw[:, : SAMPLES * 8]).view(np.int64)
-        signature = pa.array([x.tobytes() for x in raw[:, len(DEPTHS) * SAMPLES * 8 :]], pa.binary())
-        index = pa.array(np.repeat(np.arange(count), SAMPLES))
-        columns = (b.column("id").take(index), b.column("root").take(index), signature.take(index))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *columns], names=["bucket", "id", "root", "signature"])
-
+def meet_again(shared: DataFrame, roots: DataFrame, most: int | None) -> DataFrame:
+    """a, b: pairs of texts of different classes that share a bucket and agree; a row of nulls if some were left out.
 
-def meet_again(texts: DataFrame, roots: DataFrame, most: int | None) -> DataFrame:
-    """a, b: pairs of texts of different classes that share a bucket and agree; a row of nulls if some were left out."""
-    rooted = texts.select("id", "samples").join(roots, F.col("id") == F.col("member"), "left")
-    rows = rooted.select("id", F.coalesce("root", "id").alias("root"), "samples").mapInArrow(
-        _first_keys, "bucket long, id binary, root binary, signature binary"
-    )
+    ``shared``: bucket, id, signature of all texts of the buckets that hold several.
+    """
+    rooted = shared.join(roots, F.col("id") == F.col("member"), "left")
+    rows = rooted.select("bucket", "id", F.coalesce("root", "id").alias("root"), "signature")
     mark = F.xxhash64("root")
     several = rows.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count(F.lit(1)).alias("count"))
     several = materialise(several.filter("least <> most").select(F.col("bucket").alias("open"), "count"), "open-buckets")
@@ -359,7 +385,7 @@ def meet_again(texts: DataFrame, roots: DataFrame, most: int | None) -> DataFram
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "signature"
     )
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["bucket", "low", "high"]
     ordered = dealt.repartition(parts, *group).sortWithinPartitions(*group)
     return ordered.mapInArrow(lambda batches: _across(batches, most), "a binary, b binary").distinct()
@@ -367,10 +393,12 @@ def meet_again(texts: DataFrame, roots: DataFrame, most: int | None) -> DataFram
 
 def closed(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """member, root of the classes of all texts. ``texts``: id, key (of one row of the text), samples."""
-    tried = materialise(windowed(texts), "proposed")
+    told = materialise(windowed(texts), "windows")
+    shared = told.filter("bucket is not null").select(*_SHARED.names)
+    tried = materialise(told.filter("a is not null").select("a", "b").distinct(), "proposed")
     roots = components(verify(docs, texts, tried, key, text, similarity))
     for most in ROUNDS:
-        met = materialise(meet_again(texts, roots, most), "met")
+        met = materialise(meet_again(shared, roots, most), "met")
         pairs = met.filter("a is not null").join(tried, ["a", "b"], "left_anti")
         new = materialise(pairs, "met-new")
         if not new.isEmpty():
@@ -384,12 +412,12 @@ def closed(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: f
 
 
 def windowed(texts: DataFrame) -> DataFrame:
-    """a, b: pairs proposed by the forests of the windows of sorted buckets."""
+    """a, b: pairs proposed by the forests of the windows of sorted buckets; bucket, id, signature: the rows of shared buckets."""
     rows = texts.select("id", "samples").mapInArrow(_buckets, "k0 long, k1 long, k2 long, id binary, signature binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["k0", "k1", "k2", "id"]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(_proposals, "a binary, b binary").distinct()
+    return ordered.mapInArrow(_proposals, "a binary, b binary, bucket long, id binary, signature binary")
 
 
 def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
