@@ -55,6 +55,12 @@ def category_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("encoded_source", F.col("encoded_source").cast("long"))
 
 
+def category_codes_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of a key of many values, numbered in ranges: the driver takes none of them."""
+    codes = fit_codes(table(spark, sf_dir, "orders"), "o_orderkey", max_local=100, per_range=2000)
+    return codes.withColumn("code", F.col("code").cast("long"))
+
+
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(normalise(F.col("text"))).alias("digest"))
 
@@ -98,6 +104,7 @@ QUERIES = {
     "weekday_counts": weekdays,
     "category_codes": category_codes,
     "category_apply": category_apply,
+    "category_codes_ranged": category_codes_ranged,
     "normalised_text": normalised,
     "tokens_top": tokens_top,
     "vocabulary": vocabulary,
@@ -123,6 +130,8 @@ FROM documents LEFT JOIN labels USING (doc_id)""",
     "category_codes": f"WITH {_CODES} SELECT value, code::BIGINT AS code FROM c",
     "category_apply": f"""WITH {_CODES} SELECT doc_id, source, coalesce(code, -1)::BIGINT AS encoded_source
 FROM documents LEFT JOIN c ON coalesce(source, 'unknown') = value""",
+    "category_codes_ranged": """SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
+FROM (SELECT DISTINCT coalesce(o_orderkey::VARCHAR, 'unknown') AS value FROM orders)""",
     "normalised_text": "SELECT doc_id, md5(strip_accents(lower(coalesce(text, '')))) AS digest FROM documents",
     "tokens_top": f"{_vocabulary_sql(1)} SELECT term, df, tf FROM v",
     "vocabulary": f"{_vocabulary_sql(2)} SELECT term, df, tf FROM v",

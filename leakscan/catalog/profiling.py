@@ -11,7 +11,7 @@ from leakscan.functions.rules import rule_set
 from leakscan.operators import profile
 from leakscan.operators.findings import with_pii
 from leakscan.operators.sampling import sample_n
-from leakscan.session import materialise
+from leakscan.session import materialise, work_path
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -55,6 +55,26 @@ def cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.cardinality(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
+_COUNTED = ["user_id", "event_type", "event_id"]
+#: Three standard errors of a sketch of the default power.
+_SKETCH_ERROR = 0.02
+
+
+def cardinality_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values from stored sketches of two parts of events, against the exact counts.
+
+    The second part's profile is added to the stored one; neither part is read to merge them.
+    """
+    events = table(spark, sf_dir, "events")
+    path = work_path(spark, "distinct-sketches")
+    for part in (F.hour("ts") < 12, (F.hour("ts") >= 12) | F.col("ts").isNull()):
+        profile.distinct_sketches(events.filter(part), _COUNTED).write.mode("append").parquet(path)
+    merged = profile.merged_cardinality(spark.read.parquet(path))
+    exact = profile.cardinality(events, _COUNTED).withColumnRenamed("n_distinct", "exact")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.ceil(F.col("exact") * _SKETCH_ERROR)
+    return merged.join(exact, "column_name").select("column_name", "n_rows", "n_missing", "exact", near.alias("near"))
+
+
 def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches per document by severity, classes in fixed order."""
     found = with_pii(documents(spark, sf_dir), "text", "extended").select("doc_id", F.col("pii.pii_count").alias("pii_count"))
@@ -110,6 +130,7 @@ QUERIES = {
     "balance_flags": balance,
     "imbalance": imbalance,
     "cardinality": cardinality,
+    "cardinality_merged": cardinality_merged,
     "group_stats": group_stats,
     "five_number": five_number,
     "five_number_text": five_number_text,
@@ -139,6 +160,11 @@ ORACLES = {
   max(n) / min(n) > 3 AS imbalanced FROM (SELECT count(*) AS n FROM {_LABELLED} GROUP BY severity)""",
     "cardinality": """SELECT 'user_id' AS column_name, count(DISTINCT user_id) AS n_distinct FROM events
 UNION ALL SELECT 'event_type', count(DISTINCT event_type) FROM events""",
+    "cardinality_merged": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_missing, "
+        f"count(DISTINCT {c}) AS exact, true AS near FROM events"
+        for c in _COUNTED
+    ),
     "group_stats": f"""WITH p AS (SELECT doc_id,
   {" + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}', 0))" for p in rule_set("extended").values())} AS pii_count
   FROM documents),

@@ -9,6 +9,7 @@ from leakscan.catalog.tables import SEED, documents, table
 from leakscan.functions.vector import cosine
 from leakscan.operators import neighbours
 from leakscan.operators import vectors as V
+from leakscan.operators.restarts import assign, fit_restarts
 from leakscan.plans.similarity import build_index, find_similar, similar_vectors
 from leakscan.session import work_path
 from leakscan.sources.vector_index import VectorIndex, build_vector_index
@@ -141,6 +142,21 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cluster_mix(clustered, "label")
 
 
+def kmeans_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten restarts updated together: rows assigned, and whether the kept centres are the cheapest and cost what they state."""
+    vectors = _embeddings(spark, sf_dir)
+    fitted = fit_restarts(vectors, k=10, seed=SEED)
+    nearest = F.lit(None).cast("double")
+    for c in fitted.centres:
+        gaps = F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b))
+        nearest = F.least(nearest, F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x))
+    told = assign(vectors, fitted.centres).agg(
+        F.count("cluster").alias("n"), (F.count_distinct("cluster") <= 10).alias("few_clusters"), F.sum(nearest).alias("cost")
+    )
+    stated = F.abs(F.col("cost") - fitted.cost) <= 1e-6 * fitted.cost
+    return told.select("n", "few_clusters", (stated & F.lit(fitted.cost <= min(fitted.costs))).alias("cheapest"))
+
+
 def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.project_2d(_embeddings(spark, sf_dir))
 
@@ -165,6 +181,7 @@ QUERIES = {
     "index_search": index_search,
     "index_sizes": index_sizes,
     "kmeans": kmeans,
+    "kmeans_restarts": kmeans_restarts,
     "project_2d": project_2d,
 }
 
@@ -183,6 +200,7 @@ SELECT a.vec_id, round(array_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a
   count(label) AS metadata_count FROM embeddings""",
     "vectors_append": """SELECT vec_id, len(embedding)::BIGINT AS dimension, round(embedding[1]::DOUBLE, 6) AS first, label FROM embeddings
 UNION ALL SELECT -vec_id - 1, len(embedding)::BIGINT, round(embedding[1]::DOUBLE, 6), NULL::INT FROM embeddings""",
+    "kmeans_restarts": "SELECT count(embedding) AS n, true AS few_clusters, true AS cheapest FROM embeddings",
     "cluster_sizes": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "cluster_mix": """SELECT label, CASE WHEN embedding[1] > 0 THEN 'positive' ELSE 'other' END AS kind, count(*) AS n
 FROM embeddings GROUP BY ALL""",

@@ -101,6 +101,38 @@ def cardinality(df: DataFrame, cols: Sequence[str], approximate: bool = False) -
     return _unpivot(row, [(c, {"n_distinct": F.col(f"d{i}")}) for i, c in enumerate(cols)])
 
 
+#: Buckets of a distinct-count sketch as a power of two: 2**14 hold a relative standard error of some 0.6 percent.
+SKETCH_POWER = 14
+
+
+def distinct_sketches(df: DataFrame, cols: Sequence[str], power: int = SKETCH_POWER) -> DataFrame:
+    """``(column_name, n_rows, n_missing, sketch)``: what a profile keeps of a part of a table to count values over all parts.
+
+    One pass, merged map-side; a sketch is bounded by ``power``, whatever the number of rows. Values are told apart as text.
+    """
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [
+            F.count(F.lit(1)).alias(f"n{i}"),
+            F.count_if(F.col(c).isNull()).alias(f"m{i}"),
+            F.hll_sketch_agg(F.col(c).cast("string"), power).alias(f"s{i}"),
+        ]
+    fields = {"n_rows": "n", "n_missing": "m", "sketch": "s"}
+    return _unpivot(df.agg(*aggs), [(c, {f: F.col(f"{k}{i}") for f, k in fields.items()}) for i, c in enumerate(cols)])
+
+
+def merged_cardinality(sketches: DataFrame) -> DataFrame:
+    """``(column_name, n_rows, n_missing, n_distinct)`` over the stored sketches of all parts; no row of the parts is read again.
+
+    A value found in several parts counts once. Parts may have been sketched with different powers; the least one holds.
+    """
+    return sketches.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_missing").alias("n_missing"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(True))).alias("n_distinct"),
+    )
+
+
 def pii_prevalence(df: DataFrame, pii: str = "pii") -> DataFrame:
     """Rows, rows with personal data, mean count and share of rows per kind, from a detection column."""
     d = F.col(pii)
