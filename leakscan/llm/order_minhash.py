@@ -163,6 +163,21 @@ def verified(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     return _aligned(first, second, similarity) or (len(first) < len(one) and _aligned(one, two, similarity))
 
 
+def _alike(batches, similarity: float):
+    """The pairs whose sets of shingles (sorted, without repeats) reach the similarity."""
+    for b in batches:
+        good = []
+        for one, two in zip(b.column("one").to_pylist(), b.column("two").to_pylist(), strict=True):
+            first, second = np.frombuffer(one, np.uint32), np.frombuffer(two, np.uint32)
+            total = len(first) + len(second)
+            if not _enough(min(len(first), len(second)), total, similarity):
+                good.append(False)
+                continue
+            both = np.sort(np.concatenate([first, second]), kind="stable")  # merges two sorted runs
+            good.append(_enough(int(np.count_nonzero(both[1:] == both[:-1])), total, similarity))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _enough(common: int, total: int, similarity: float) -> bool:
     return common >= similarity / (1 + similarity) * total - 1e-9
 
@@ -434,13 +449,21 @@ def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, tex
     def cut(batches):
         shingler = Shingler()
         for b in batches:
-            sequences = [shingler(raw).astype(np.uint32).tobytes() for raw in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sequences, pa.binary())], names=["id", "shingles"])
+            sequences = [shingler(raw).astype(np.uint32) for raw in b.column("text").to_pylist()]
+            members = pa.array([np.unique(x).tobytes() for x in sequences], pa.binary())
+            columns = [b.column("id"), pa.array([x.tobytes() for x in sequences], pa.binary()), members]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "members"])
 
-    shingles = materialise(
-        found.select("id", "text").mapInArrow(cut, "id binary, shingles binary").dropDuplicates(["id"]), "shingles"
+    cuts = materialise(
+        found.select("id", "text").mapInArrow(cut, "id binary, shingles binary, members binary").dropDuplicates(["id"]), "shingles"
+    )
+    # Most pairs of a hot bucket have too little in common whatever the order: told by sorted sets before any alignment.
+    sets = cuts.select("id", "members")
+    alike = proposed.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").mapInArrow(
+        lambda batches: _alike(batches, similarity), "a binary, b binary"
     )
-    pairs = proposed.join(shingles.toDF("a", "one"), "a").join(shingles.toDF("b", "two"), "b")
+    shingles = cuts.select("id", "shingles")
+    pairs = alike.join(shingles.toDF("a", "one"), "a").join(shingles.toDF("b", "two"), "b")
 
     def check(batches):
         for b in batches:
