@@ -45,6 +45,9 @@ class TreeParams:
         return cls(trees=trees, depth=depth, kind="boosted", **others)
 
 
+#: Rows of a partition in training, which holds them with a draw per tree; rows from which the two models are fitted in turn.
+TRAINED_ROWS, FITTED_IN_TURN = 100_000, 2_000_000
+
 Classifier = PipelineModel | BoostedModel
 
 
@@ -115,6 +118,19 @@ def split(
     return marked.filter(~F.col("is_test")).drop("is_test"), marked.filter(F.col("is_test")).drop("is_test")
 
 
+def bounded_parts(prepared: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``prepared`` in so many partitions that none holds much more than ``most`` of its rows; as it is where none does.
+
+    ``rows`` is the table that it is made of, row by row, and cheaper to count. A table of few large files, or one that was dealt to
+    the cores, has as many partitions however large it grows, and the trees read all of a partition in one task.
+    """
+    parts = rows.select(F.spark_partition_id().alias("part")).groupBy("part").count().agg(F.sum("count"), F.max("count")).first()
+    most = most or TRAINED_ROWS
+    if (parts[1] or 0) <= 2 * most:
+        return prepared
+    return prepared.repartition(-(-parts[0] // most))
+
+
 def train(
     df: DataFrame,
     key: str,
@@ -129,12 +145,13 @@ def train(
     training, held_out = split(df, key, targets, test_fraction, seed)
     features = FeatureExtractor(config).fit(training)
     columns = list(dict.fromkeys(targets.values()))
-    prepared = features.transform(training).select(*columns, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = bounded_parts(features.transform(training).select(*columns, "features"), training)
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train_size = prepared.count()
-        # The two fits share the persisted features and nothing else, so they run side by side.
+        # The two fits share the persisted features and nothing else: side by side, unless their rows would crowd out each other's.
         run = inheritable_thread_target(df.sparkSession)
-        with ThreadPoolExecutor(2) as pool:
+        with ThreadPoolExecutor(2 if train_size < FITTED_IN_TURN else 1) as pool:
             kind = pool.submit(run(train_type), prepared, targets["incident_type"], params)
             level = pool.submit(run(train_severity), prepared, targets["severity"], params)
             model = LeakModel(features, kind.result(), level.result(), params=params)
