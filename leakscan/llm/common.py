@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,3 +59,21 @@ def spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((at, to))
         at = to
     return out
+
+
+def give_back() -> None:
+    """Returns memory that the worker has freed but still holds to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(work: Callable) -> Callable:
+    """``work`` over a task's batches, after which the worker, which outlives the stage, gives back what the task took."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run

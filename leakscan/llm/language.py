@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import batch, fold, spans, table, text_bytes
+from leakscan.llm.common import batch, fold, released, spans, table, text_bytes
 from leakscan.llm.lattice import Lattice, public_pieces
 from leakscan.llm.pieces import BLOCK, learn
 
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                 )
 
     kind = rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(tell, f"kept {kind}, lang_pred string, score double").select(
+    return rows.mapInArrow(released(tell), f"kept {kind}, lang_pred string, score double").select(
         *(F.col(f"kept.{kept[name]}").alias(name) for name in keep), "lang_pred", "score"
     )
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import spans, table, text_bytes
+from leakscan.llm.common import give_back, spans, table, text_bytes
 from leakscan.llm.word_bpe import WordBpe
 from leakscan.session import materialise
 
@@ -172,6 +172,7 @@ def pieces(
     def cut(batches):
         worker = shared.value  # lives as long as the worker, and with it the table of words
         if "bpe" not in worker:
+            give_back()  # what the tasks of earlier stages left
             worker["bpe"] = WordBpe(worker["path"])
         for b in batches:
             column = b.column("text")
