@@ -10,9 +10,10 @@ that the wanted similarity allows, and linked if (common in order) / (either) re
 alternating large and small stars.
 
 Windows and failed pairs leave links out, so texts meet again: in every bucket that still holds several classes all texts of
-different classes are held against each other by their agreement, a few pairs of two classes first, then every pair that
-was not aligned yet. After that no two texts of different classes that share a bucket and agree enough are
-untried, so classes depend neither on windows nor on partitions; what sampling itself may miss (a pair at the
+different classes are held against each other by their agreement, and those that agree enough by their shingles at once, where
+they meet: a pair in the first bucket that it shares, unless links found there have made one class of its two. Only links leave
+the task, fewer than the texts that meet there. After that no two texts of different classes that share a bucket and agree
+enough are untried, so classes depend neither on windows nor on partitions; what sampling itself may miss (a pair at the
 similarity shares no bucket once in some 300 000 times, agrees too little once in some 5 000) is all that can be lost.
 
 Plan: copies of a text are one row from the first aggregation on (partial, so a much copied text is no hot key). Samples go through
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.llm.align import banded_common
-from leakscan.llm.common import fresh, table, text_bytes
+from leakscan.llm.common import fresh, released, table, text_bytes
 from leakscan.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -45,10 +46,8 @@ SAMPLES, DEPTHS = 24, (4, 8, 16)
 AGREEMENT = 0.5
 #: Texts of a bucket that are compared with each other; windows overlap by half.
 WINDOW = 128
-#: Texts of a block where the texts of a bucket meet again.
-BLOCK = 4096
-#: Pairs of two classes that a block proposes in each round; none: all.
-ROUNDS = (8, None)
+#: Texts of a block where the texts of a bucket meet again, and bytes of their shingles; shingles that are looked up at a time.
+BLOCK, BLOCK_BYTES, LOOKED_UP = 4096, 32_000_000, 1 << 21
 #: Shingles that are hashed at a time.
 STEP = 1 << 15
 _DRAW = np.random.default_rng(20240229)
@@ -216,7 +215,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(draw, f"id binary, key {kind}, samples binary")
+    return rows.mapInArrow(released(draw), f"id binary, key {kind}, samples binary")
 
 
 def _buckets(batches):
@@ -312,56 +311,69 @@ def _windows(start: int, end: int) -> Iterator[slice]:
         start += WINDOW // 2
 
 
-def _across(batches, most: int | None):
-    """Pairs of different classes from rows sorted by group (bucket, low, high); a row without ids says that pairs were left out.
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the sorted sets has in common with the first."""
+    out, start = np.zeros(len(others), dtype=np.int64), 0
+    sizes = np.array([len(x) for x in others])
+    ends = np.cumsum(sizes)
+    while start < len(others):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + LOOKED_UP, side="right")))
+        members = np.concatenate(others[start:end])
+        at = np.minimum(np.searchsorted(one, members), len(one) - 1)
+        out[start:end] = np.add.reduceat(one[at] == members, np.r_[0, np.cumsum(sizes[start : end - 1])], dtype=np.int64)
+        start = end
+    return out
+
 
-    In a group of one block all texts meet, in a group of two those of one block meet those of the other.
+def _across(batches, similarity: float):
+    """Links between texts of different classes from rows sorted by group (bucket, low, high).
+
+    In a group of one block all texts meet, in a group of two those of one block meet those of the other. A pair is told in the
+    bucket of the first sample that it shares; one whose classes links of the group have joined needs no link.
     """
     least = int(AGREEMENT * SAMPLES)
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     group = ["bucket", "low", "high"]
 
-    def pairs(rows: pa.Table):
+    def links(rows: pa.Table):
         count, two = len(rows), rows["low"][0].as_py() != rows["high"][0].as_py()
+        codes = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        if not codes.max():
+            return
         own = rows["block"].to_numpy()
         order = np.argsort(own, kind="stable")
-        own, ids = own[order], rows["id"].to_pylist()
+        own, codes, ids = own[order], codes[order].copy(), rows["id"].to_pylist()
         signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype=np.uint8).reshape(count, SAMPLES)[order]
-        codes = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()[order]
-        several = int(codes.max()) + 1
-        if several == 1:
-            return
-        met = None if most is None or several == count else np.zeros((several, several), dtype=np.uint8)
+        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), dtype=np.int64).reshape(count, SAMPLES)[order]
+        sample_at = int(np.flatnonzero(keys[0] == rows["bucket"][0].as_py())[0])
+        shingles = [np.frombuffer(x, np.uint32) for x in rows["shingles"].to_pylist()]
+        sets: dict[int, np.ndarray] = {}
+
+        def members(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(shingles[order[i]])
+            return sets[i]
+
         split = int(np.searchsorted(own, own[0], side="right")) if two else count - 1
-        found: list[tuple] = []
-        short = False
         for i in range(split if not two or split < count else 0):
             start = split if two else i + 1
             agree = (signatures[start:] == signatures[i]).sum(axis=1, dtype=np.int8)
             hits = np.flatnonzero((agree >= least) & (codes[start:] != codes[i]))
+            hits = hits[(keys[start + hits] == keys[i]).argmax(axis=1) == sample_at]
             if not len(hits):
                 continue
-            if met is not None:
-                hits = hits[np.argsort(-agree[hits], kind="stable")]
-                classes_, best = np.unique(codes[start + hits], return_index=True)
-                low, high = np.minimum(classes_, codes[i]), np.maximum(classes_, codes[i])
-                free = met[low, high] < most
-                met[low[free], high[free]] += 1
-                short |= int(free.sum()) < len(hits)
-                hits = hits[best[free]]
-            one = ids[order[i]]
-            for j in hits.tolist():
-                other = ids[order[start + j]]
-                found.append((one, other) if one < other else (other, one))
-            if len(found) > 100_000:
-                yield found
-                found = []
-        yield found + [(None, None)] * short
+            hits = start + hits[np.argsort(-agree[hits], kind="stable")]
+            one, others = members(i), [members(j) for j in hits.tolist()]
+            total = len(one) + np.array([len(x) for x in others])
+            for j in hits[_common(one, others) >= similarity / (1 + similarity) * total - 1e-9].tolist():
+                if codes[j] != codes[i] and verified(shingles[order[i]], shingles[order[j]], similarity):
+                    codes[codes == codes[j]] = codes[i]
+                    a, b = ids[order[i]], ids[order[j]]
+                    yield (a, b) if a < b else (b, a)
 
     def told(rows: pa.Table):
-        for found in pairs(rows):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=schema)
+        found = list(links(rows))  # fewer than rows
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=_PAIR)
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -383,27 +395,32 @@ def _across(batches, most: int | None):
         yield from told(pa.Table.from_batches(held))
 
 
-def meet_again(shared: DataFrame, roots: DataFrame, most: int | None) -> DataFrame:
-    """a, b: pairs of texts of different classes that share a bucket and agree; a row of nulls if some were left out.
+def meet_again(docs: DataFrame, texts: DataFrame, shared: DataFrame, roots: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """a, b: links between texts of different classes that share a bucket and agree.
 
     ``shared``: bucket, id, signature of all texts of the buckets that hold several.
     """
     rooted = shared.join(roots, F.col("id") == F.col("member"), "left")
     rows = rooted.select("bucket", "id", F.coalesce("root", "id").alias("root"), "signature")
     mark = F.xxhash64("root")
-    several = rows.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count(F.lit(1)).alias("count"))
-    several = materialise(several.filter("least <> most").select(F.col("bucket").alias("open"), "count"), "open-buckets")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = rows.join(several, F.col("bucket") == F.col("open")).select(
-        "bucket", "id", "root", "signature", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
-    )
+    several = rows.groupBy("bucket").agg(F.min(mark).alias("least"), F.max(mark).alias("most"))
+    several = materialise(several.filter("least <> most").select(F.col("bucket").alias("open")), "open-buckets")
+    rows = materialise(rows.join(several, F.col("bucket") == F.col("open")).drop("open"), "open-rows")
+    cuts = sequences(docs, texts, rows.select("id").distinct(), key, text, sets=False)
+    size = F.octet_length("shingles").cast("long").alias("size")
+    sizes = rows.join(cuts.select("id", size), "id").groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+    sizes = materialise(sizes.select("bucket", blocks.alias("blocks")), "bucket-blocks")
+    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "signature"
     )
+    keys = texts.select("id", F.substring("samples", 1, 8 * SAMPLES).alias("keys"))  # those of the first depth
+    dealt = dealt.join(cuts.join(keys, "id"), "id")
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["bucket", "low", "high"]
     ordered = dealt.repartition(parts, *group).sortWithinPartitions(*group)
-    return ordered.mapInArrow(lambda batches: _across(batches, most), "a binary, b binary").distinct()
+    return ordered.mapInArrow(released(lambda batches: _across(batches, similarity)), "a binary, b binary").distinct()
 
 
 def closed(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -412,33 +429,22 @@ def closed(docs: DataFrame, texts: DataFrame, key: str, text: str, similarity: f
     shared = told.filter("bucket is not null").select(*_SHARED.names)
     tried = materialise(told.filter("a is not null").select("a", "b").distinct(), "proposed")
     roots = components(verify(docs, texts, tried, key, text, similarity))
-    for most in ROUNDS:
-        met = materialise(meet_again(shared, roots, most), "met")
-        pairs = met.filter("a is not null").join(tried, ["a", "b"], "left_anti")
-        new = materialise(pairs, "met-new")
-        if not new.isEmpty():
-            links = materialise(verify(docs, texts, new, key, text, similarity), "met-links")
-            if not links.isEmpty():
-                roots = components(roots.toDF("a", "b").unionByName(links))
-            tried = tried.unionByName(new)
-        if met.filter("a is null").isEmpty():
-            break
-    return roots
+    links = materialise(meet_again(docs, texts, shared, roots, key, text, similarity), "met-links")
+    return roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(links))
 
 
 def windowed(texts: DataFrame) -> DataFrame:
     """a, b: pairs proposed by the forests of the windows of sorted buckets; bucket, id, signature: the rows of shared buckets."""
-    rows = texts.select("id", "samples").mapInArrow(_buckets, "k0 long, k1 long, k2 long, id binary, signature binary")
+    rows = texts.select("id", "samples").mapInArrow(released(_buckets), "k0 long, k1 long, k2 long, id binary, signature binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["k0", "k1", "k2", "id"]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(_proposals, "a binary, b binary, bucket long, id binary, signature binary")
+    return ordered.mapInArrow(released(_proposals), "a binary, b binary, bucket long, id binary, signature binary")
 
 
-def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """Those of the pairs a, b of ids of texts that reach the similarity."""
-    wanted = proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "key"), "id")
-    wanted = materialise(wanted, "wanted")  # of known size: few are broadcast, and no text is shuffled for them
+def sequences(docs: DataFrame, texts: DataFrame, ids: DataFrame, key: str, text: str, sets: bool = True) -> DataFrame:
+    """id, shingles and, with ``sets``, members (sorted, without repeats) of the texts with these ids; written once."""
+    wanted = materialise(ids.join(texts.select("id", "key"), "id"), "wanted")  # of known size: few are broadcast, and no text is shuffled for them
     # By key first, so that only wanted texts are hashed; a key may be that of other texts too.
     keys = wanted.select(F.col("key").alias("want_key")).distinct()
     near = docs.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("given"))
@@ -449,18 +455,23 @@ def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, tex
     def cut(batches):
         shingler = Shingler()
         for b in batches:
-            sequences = [shingler(raw).astype(np.uint32) for raw in b.column("text").to_pylist()]
-            members = pa.array([np.unique(x).tobytes() for x in sequences], pa.binary())
-            columns = [b.column("id"), pa.array([x.tobytes() for x in sequences], pa.binary()), members]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "members"])
+            told = [shingler(raw).astype(np.uint32) for raw in b.column("text").to_pylist()]
+            columns = {"id": b.column("id"), "shingles": pa.array([x.tobytes() for x in told], pa.binary())}
+            if sets:
+                columns["members"] = pa.array([np.unique(x).tobytes() for x in told], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    cuts = materialise(
-        found.select("id", "text").mapInArrow(cut, "id binary, shingles binary, members binary").dropDuplicates(["id"]), "shingles"
-    )
+    schema = "id binary, shingles binary" + ", members binary" * sets
+    return materialise(found.select("id", "text").mapInArrow(released(cut), schema).dropDuplicates(["id"]), "shingles")
+
+
+def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """Those of the pairs a, b of ids of texts that reach the similarity."""
+    cuts = sequences(docs, texts, proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), key, text)
     # Most pairs of a hot bucket have too little in common whatever the order: told by sorted sets before any alignment.
     sets = cuts.select("id", "members")
     alike = proposed.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").mapInArrow(
-        lambda batches: _alike(batches, similarity), "a binary, b binary"
+        released(lambda batches: _alike(batches, similarity)), "a binary, b binary"
     )
     shingles = cuts.select("id", "shingles")
     pairs = alike.join(shingles.toDF("a", "one"), "a").join(shingles.toDF("b", "two"), "b")
@@ -473,7 +484,7 @@ def verify(docs: DataFrame, texts: DataFrame, proposed: DataFrame, key: str, tex
             ]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(check, "a binary, b binary")
+    return pairs.mapInArrow(released(check), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
