@@ -15,6 +15,9 @@ from leakscan.session import materialise
 
 #: Texts whose language has a lower posterior are rejected.
 LEAST_POSTERIOR = 0.5
+#: Bytes of text that packing encodes at a time, and of its table of words: less than by itself, as the JVM keeps the heap that
+#: earlier stages grew.
+PACKED_BLOCK, PACKED_TABLE = 2_000_000, 60_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents and their places in sequences."""
     import public_tokenizers
 
-    return packing.pack(docs, ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, ["doc_id"], path, block=PACKED_BLOCK, table_bytes=PACKED_TABLE)
 
 
 STAGES = [

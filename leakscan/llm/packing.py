@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscan.llm.common import give_back, spans, table, text_bytes
-from leakscan.llm.word_bpe import WordBpe
+from leakscan.llm.word_bpe import TABLE_BYTES, WordBpe
 from leakscan.session import materialise
 
 CAPACITY = 4096
@@ -161,9 +161,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, dict[str
 
 
 def pieces(
-    docs: DataFrame, keep: list[str], tokenizer: str, end: int, capacity: int = CAPACITY, text: str = "text"
+    docs: DataFrame,
+    keep: list[str],
+    tokenizer: str,
+    end: int,
+    capacity: int = CAPACITY,
+    text: str = "text",
+    ids: bool = False,
+    block: int = BLOCK,
+    table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
-    """The columns ``keep`` (struct ``kept``), piece, start, length, ids (binary), ids_crc32 for every piece."""
+    """The columns ``keep`` (struct ``kept``), piece, start, length, ids_crc32 for every piece, and with ``ids`` the ids (binary).
+
+    ``block`` and ``table_bytes`` bound what a worker holds beside the tokenizer, whatever it reads; smaller ones take more time.
+    """
     kept = F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)))
     rows = docs.select(kept.alias("kept"), text_bytes(text).alias("text"))
     width, last = 4 * capacity, end.to_bytes(4, "little")
@@ -173,32 +184,33 @@ def pieces(
         worker = shared.value  # lives as long as the worker, and with it the table of words
         if "bpe" not in worker:
             give_back()  # what the tasks of earlier stages left
-            worker["bpe"] = WordBpe(worker["path"])
+            worker["bpe"] = WordBpe(worker["path"], table_bytes)
         for b in batches:
             column = b.column("text")
-            for i, j in spans(pc.binary_length(column).to_numpy(), BLOCK):
-                of, number, ids = [], [], []
+            for i, j in spans(pc.binary_length(column).to_numpy(), block):
+                of, number, made = [], [], []
                 texts = [t.decode("utf-8", "replace") for t in column.slice(i, j - i).to_pylist()]
                 for r, whole in enumerate(worker["bpe"].encode(texts)):
                     whole += last
                     for k in range(0, len(whole), width):
                         of.append(i + r)
                         number.append(k // width)
-                        ids.append(whole[k : k + width])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("kept").take(pa.array(of, pa.int64())),
-                        pa.array(number, pa.int32()),
-                        pa.array([n * capacity for n in number], pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                        pa.array(map(zlib.crc32, ids), pa.int64()),
-                    ],
-                    names=["kept", "piece", "start", "length", "ids", "ids_crc32"],
-                )
+                        made.append(whole[k : k + width])
+                columns = {
+                    "kept": b.column("kept").take(pa.array(of, pa.int64())),
+                    "piece": pa.array(number, pa.int32()),
+                    "start": pa.array([n * capacity for n in number], pa.int64()),
+                    "length": pa.array([len(x) // 4 for x in made], pa.int64()),
+                }
+                if ids:
+                    columns["ids"] = pa.array(made, pa.binary())
+                columns["ids_crc32"] = pa.array(map(zlib.crc32, made), pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            give_back()  # of a batch of texts little is kept
 
     kind = rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"kept {kind}, piece int, start long, length long, ids binary, ids_crc32 long")
+    told = ", ids binary" * ids + ", ids_crc32 long"
+    return rows.mapInArrow(cut, f"kept {kind}, piece int, start long, length long" + told)
 
 
 def place(rows: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
@@ -242,11 +254,20 @@ def place(rows: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Da
     return numbered.select(*names, "rank").mapInArrow(assign, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, keep: list[str], tokenizer: str, end: int = 1, capacity: int = CAPACITY, text: str = "text", ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    keep: list[str],
+    tokenizer: str,
+    end: int = 1,
+    capacity: int = CAPACITY,
+    text: str = "text",
+    ids: bool = False,
+    block: int = BLOCK,
+    table_bytes: int = TABLE_BYTES,
+) -> DataFrame:
     """Per piece: the columns ``keep``, piece, start, length, ids_crc32, sequence_id, offset, and with ``ids`` the ids."""
-    made = pieces(docs, keep, tokenizer, end, capacity, text)
-    made = materialise(made if ids else made.drop("ids"), "pieces")
-    placed = place(made, capacity)
+    made = pieces(docs, keep, tokenizer, end, capacity, text, ids, block, table_bytes)
+    placed = place(materialise(made, "pieces"), capacity)
     return placed.select(
         *(F.col(f"kept.k{i}").alias(k) for i, k in enumerate(keep)),
         *(c for c in placed.columns if c != "kept"),

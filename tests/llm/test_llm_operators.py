@@ -100,6 +100,34 @@ def test_packing(docs, empty):
     assert packing.pack(empty, ["doc_id"], WORDS).count() == 0
 
 
+def test_packing_in_bounded_memory(spark, monkeypatch):
+    """In the pipeline a worker holds a small table of words and a short block of texts, and tells no ids; the pieces are the same."""
+    import corpus_pipeline
+
+    rng, held = np.random.default_rng(3), []
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 40, 1_500)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, "", "x"])), "doc_id long, text string").coalesce(1)
+    told = lambda found: sorted(tuple(r) for r in found.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    whole = told(packing.pack(df, ["doc_id"], WORDS))
+    monkeypatch.setattr(corpus_pipeline, "PACKED_BLOCK", 20_000, raising=False)
+    monkeypatch.setattr(corpus_pipeline, "PACKED_TABLE", 500_000, raising=False)
+    keep = packing.pieces
+
+    def pieces(*args):
+        made = keep(*args)
+        held.append((made.columns, args[-2:]))
+        return made
+
+    monkeypatch.setattr(packing, "pieces", pieces)
+    assert told(corpus_pipeline.packing_stage(spark, df, "")) == whole
+    assert held == [(["kept", "piece", "start", "length", "ids_crc32"], (20_000, 500_000))]
+    bpe, most = packing.WordBpe(WORDS, 500_000), 0
+    for k in range(0, len(texts), 2):
+        bpe.encode(texts[k : k + 2])
+        most = max(most, bpe._bytes)
+    assert most < 500_000 + 2 * 1_500 * 3 * 300
+
+
 def test_digests(docs, empty):
     rows = digest.compare_neighbours(docs, "doc_id").collect()
     order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in docs.select("doc_id", "text").collect()))
