@@ -46,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(docs, ["doc_id"], path, block=PACKED_BLOCK, table_bytes=PACKED_TABLE)
+    return packing.pack(docs, ["doc_id"], path, block=PACKED_BLOCK, table_bytes=PACKED_TABLE, trim=True)
 
 
 STAGES = [

@@ -170,10 +170,12 @@ def pieces(
     ids: bool = False,
     block: int = BLOCK,
     table_bytes: int = TABLE_BYTES,
+    trim: bool = False,
 ) -> DataFrame:
     """The columns ``keep`` (struct ``kept``), piece, start, length, ids_crc32 for every piece, and with ``ids`` the ids (binary).
 
-    ``block`` and ``table_bytes`` bound what a worker holds beside the tokenizer, whatever it reads; smaller ones take more time.
+    ``block`` and ``table_bytes`` bound what a worker holds beside the tokenizer, whatever it reads; with ``trim`` it gives back what it
+    freed after each batch. Smaller ones and ``trim`` take more time.
     """
     kept = F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)))
     rows = docs.select(kept.alias("kept"), text_bytes(text).alias("text"))
@@ -206,7 +208,8 @@ def pieces(
                     columns["ids"] = pa.array(made, pa.binary())
                 columns["ids_crc32"] = pa.array(map(zlib.crc32, made), pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-            give_back()  # of a batch of texts little is kept
+            if trim:
+                give_back()  # of a batch of texts little is kept
 
     kind = rows.schema["kept"].dataType.simpleString()
     told = ", ids binary" * ids + ", ids_crc32 long"
@@ -264,9 +267,10 @@ def pack(
     ids: bool = False,
     block: int = BLOCK,
     table_bytes: int = TABLE_BYTES,
+    trim: bool = False,
 ) -> DataFrame:
     """Per piece: the columns ``keep``, piece, start, length, ids_crc32, sequence_id, offset, and with ``ids`` the ids."""
-    made = pieces(docs, keep, tokenizer, end, capacity, text, ids, block, table_bytes)
+    made = pieces(docs, keep, tokenizer, end, capacity, text, ids, block, table_bytes, trim)
     placed = place(materialise(made, "pieces"), capacity)
     return placed.select(
         *(F.col(f"kept.k{i}").alias(k) for i, k in enumerate(keep)),

@@ -115,12 +115,12 @@ def test_packing_in_bounded_memory(spark, monkeypatch):
 
     def pieces(*args):
         made = keep(*args)
-        held.append((made.columns, args[-2:]))
+        held.append((made.columns, args[-3:]))
         return made
 
     monkeypatch.setattr(packing, "pieces", pieces)
     assert told(corpus_pipeline.packing_stage(spark, df, "")) == whole
-    assert held == [(["kept", "piece", "start", "length", "ids_crc32"], (20_000, 500_000))]
+    assert held == [(["kept", "piece", "start", "length", "ids_crc32"], (20_000, 500_000, True))]
     bpe, most = packing.WordBpe(WORDS, 500_000), 0
     for k in range(0, len(texts), 2):
         bpe.encode(texts[k : k + 2])
