@@ -15,7 +15,7 @@ from leakscan.functions.records import preview
 from leakscan.plans import models as M
 from leakscan.plans.features import FeatureConfig
 from leakscan.plans.scoring import score_file, score_incidents
-from leakscan.session import materialise, work_path
+from leakscan.session import compiled, materialise, work_path
 from leakscan.sources.files import read_csv, write_csv, write_parquet
 from leakscan.streaming.score import read_output, scan_stream, scan_stream_with_rejects, score_stream
 
@@ -29,7 +29,8 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incident table derived from the orders, written once: training reads it many times."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _INCIDENTS:
-        _INCIDENTS[at] = materialise(make_incidents(spark, sf_dir), "incidents")
+        with compiled(spark):
+            _INCIDENTS[at] = materialise(make_incidents(spark, sf_dir), "incidents")
     return _INCIDENTS[at]
 
 

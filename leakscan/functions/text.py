@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.detect import text_or_empty
 
-# Fixed value: a token is a run of two or more word characters.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# Fixed value: a token is a run of two or more word characters. Nothing follows the run, so none of it is given back.
+TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}+"
 
 
 # First syllable of the Hangul block, and the jamo its syllables are made of.
@@ -30,7 +30,8 @@ class AccentTables:
 
     ``source`` and ``target`` are arguments of ``translate``: characters with one base character map to it, combining
     marks stand past the end of the target and vanish. ``wide`` holds the characters that expand to several of which one
-    at least can be part of a word, ``expanded`` their expansions, and ``wide_pattern`` finds one.
+    at least can be part of a word, ``expanded`` their expansions, and ``wide_pattern`` finds one. ``rare_pattern`` finds a
+    character that is neither Latin-1 nor Cyrillic, or is one of them: most text has none.
     """
 
     source: str
@@ -38,6 +39,7 @@ class AccentTables:
     wide: str
     expanded: tuple[str, ...]
     wide_pattern: str
+    rare_pattern: str
 
 
 @lru_cache(maxsize=1)
@@ -59,11 +61,28 @@ def accent_tables() -> AccentTables:
         elif any(c.isalnum() for c in base) and base != char:
             wide.append(char)
             expanded.append(base)
+    codes = list(map(ord, wide))
     return AccentTables(
-        "".join(source + marks), "".join(target), "".join(wide), tuple(expanded), _wide_pattern(list(map(ord, wide)))
+        "".join(source + marks), "".join(target), "".join(wide), tuple(expanded), _wide_pattern(codes), _rare_pattern(set(codes))
     )
 
 
+# Fixed value: Cyrillic and its supplement.
+CYRILLIC = (0x400, 0x52F)
+
+
+def _rare_pattern(codes: set[int]) -> str:
+    """Any character but those of Latin-1 and Cyrillic that are none of the codes.
+
+    The JVM looks up Latin-1 characters that are listed singly in one table. With one range beside them it tries a text in a
+    tight loop; with two it takes some ten times as long.
+    """
+    if codes & {*range(CYRILLIC[0], CYRILLIC[1] + 1)}:
+        raise ValueError("a Cyrillic character expands to several")
+    listed = "".join(f"\\x{{{c:X}}}" for c in range(0x100) if c not in codes)
+    return f"[^{listed}\\x{{{CYRILLIC[0]:X}}}-\\x{{{CYRILLIC[1]:X}}}]"
+
+
 def _wide_pattern(codes: list[int]) -> str:
     """Any of the codes or a Hangul syllable. A class of long code-free stretches in front rejects most text quickly."""
     known = sorted([(c, c) for c in codes] + [(HANGUL_FIRST, HANGUL_LAST)])
@@ -111,6 +130,7 @@ def normalise(col: Column) -> Column:
     chars = F.transform(F.split(stripped, ""), lambda c: _expand(c, tables))
     return (
         F.when(F.octet_length(lowered) == F.length(lowered), lowered)
+        .when(~F.rlike(lowered, F.lit(tables.rare_pattern)), stripped)
         .when(F.rlike(lowered, F.lit(tables.wide_pattern)), F.array_join(chars, ""))
         .otherwise(stripped)
     )
@@ -121,6 +141,15 @@ def tokens(normalised: Column) -> Column:
     return F.regexp_extract_all(normalised, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def join_words(words: Column) -> Column:
+    """Tokens as one string. They hold no spaces, so ``split_words`` gives them back."""
+    return F.array_join(words, " ")
+
+
+def split_words(joined: Column) -> Column:
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+
+
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """Arrays of ``low``- to ``high``-word terms, shorter terms first. Pass an existing column: it is used often."""
     parts = []

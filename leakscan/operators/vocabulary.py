@@ -7,15 +7,24 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.functions.text import ngrams, normalise, tokens
+from leakscan.functions.text import join_words, ngrams, normalise, split_words, tokens
 
 
-def with_terms(df: DataFrame, text_col: str, low: int = 1, high: int = 2, into: str = "terms") -> DataFrame:
+def read_words(text_col: str) -> Column:
+    """The words of a text as one string, to be kept where several passes need them; ``joined`` says below that a column holds it."""
+    return join_words(tokens(normalise(F.col(text_col))))
+
+
+def _words(text_col: str, joined: bool) -> Column:
+    return split_words(F.col(text_col)) if joined else tokens(normalise(F.col(text_col)))
+
+
+def with_terms(
+    df: DataFrame, text_col: str, low: int = 1, high: int = 2, into: str = "terms", joined: bool = False
+) -> DataFrame:
     """Adds the n-grams of a text column."""
     held = f"_{into}_words"
-    return (
-        df.withColumn(held, tokens(normalise(F.col(text_col)))).withColumn(into, ngrams(F.col(held), low, high)).drop(held)
-    )
+    return df.withColumn(held, _words(text_col, joined)).withColumn(into, ngrams(F.col(held), low, high)).drop(held)
 
 
 # Above this many frequent words the pruning of fit_vocabulary gives way to plain counting.
@@ -36,9 +45,9 @@ def _count_terms(df: DataFrame, terms: str) -> DataFrame:
     return exploded.groupBy("term").agg(F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("tf"))
 
 
-def term_counts(df: DataFrame, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
+def term_counts(df: DataFrame, text_col: str, low: int = 1, high: int = 2, joined: bool = False) -> DataFrame:
     """``(term, df, tf)``: number of documents holding the term and its total count."""
-    return _count_terms(with_terms(df, text_col, low, high).select("terms"), "terms")
+    return _count_terms(with_terms(df, text_col, low, high, joined=joined).select("terms"), "terms")
 
 
 def fit_vocabulary(
@@ -49,6 +58,7 @@ def fit_vocabulary(
     low: int = 1,
     high: int = 2,
     max_frequent: int = MAX_FREQUENT_WORDS,
+    joined: bool = False,
 ) -> DataFrame:
     """The ``max_terms`` most frequent terms found in at least ``min_df`` documents; ties go to the smaller term.
 
@@ -58,21 +68,21 @@ def fit_vocabulary(
     """
     columns = ("term", "df", "tf")
     if low > 1 or high == 1:
-        return _top(term_counts(df, text_col, low, high).filter(F.col("df") >= min_df), max_terms)
+        return _top(term_counts(df, text_col, low, high, joined).filter(F.col("df") >= min_df), max_terms)
 
-    words = term_counts(df, text_col, 1, 1).filter(F.col("df") >= min_df)
+    words = term_counts(df, text_col, 1, 1, joined).filter(F.col("df") >= min_df)
     # One row more than the cut, so that ties with its last word show.
     top = words.orderBy(F.desc("tf"), "term").limit(max(max_terms, max_frequent) + 1).collect()
     least = top[max_terms - 1]["tf"] if len(top) >= max_terms else 0
     frequent = [r for r in top if r["tf"] >= least]
     if len(frequent) > max_frequent:
-        return _top(term_counts(df, text_col, low, high).filter(F.col("df") >= min_df), max_terms)
+        return _top(term_counts(df, text_col, low, high, joined).filter(F.col("df") >= min_df), max_terms)
     if not frequent:
         return words
     spark = df.sparkSession
     singles = spark.createDataFrame([(r["term"], r["df"], r["tf"]) for r in frequent[:max_terms]], "term string, df long, tf long")
     known = [r["term"] for r in frequent]
-    kept = df.select(tokens(normalise(F.col(text_col))).alias("words")).select(
+    kept = df.select(_words(text_col, joined).alias("words")).select(
         F.transform("words", lambda w: F.when(w.isin(known), w)).alias("words")
     )
     # A term with a word that was blanked out is null and drops out.
@@ -91,11 +101,12 @@ def idf(document_frequency: Column, documents: Column) -> Column:
 
 
 def fit_idf(
-    df: DataFrame, text_col: str, max_terms: int = 100, min_df: int = 2, low: int = 1, high: int = 2
+    df: DataFrame, text_col: str, max_terms: int = 100, min_df: int = 2, low: int = 1, high: int = 2, joined: bool = False
 ) -> DataFrame:
     """``(term, df, tf, idf)`` of the vocabulary. The document count is a scalar subquery over an empty projection."""
     documents = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return fit_vocabulary(df, text_col, max_terms, min_df, low, high).withColumn("idf", idf(F.col("df"), documents))
+    terms = fit_vocabulary(df, text_col, max_terms, min_df, low, high, joined=joined)
+    return terms.withColumn("idf", idf(F.col("df"), documents))
 
 
 class TfIdf:
@@ -109,20 +120,27 @@ class TfIdf:
 
     @classmethod
     def fit(
-        cls, df: DataFrame, text_col: str, max_terms: int = 100, min_df: int = 2, low: int = 1, high: int = 2
+        cls,
+        df: DataFrame,
+        text_col: str,
+        max_terms: int = 100,
+        min_df: int = 2,
+        low: int = 1,
+        high: int = 2,
+        joined: bool = False,
     ) -> TfIdf:
         """Only the vocabulary, at most ``max_terms`` rows, reaches the driver."""
-        rows = fit_idf(df, text_col, max_terms, min_df, low, high).collect()
+        rows = fit_idf(df, text_col, max_terms, min_df, low, high, joined).collect()
         if not rows:
             raise ValueError(f"no term occurs in {min_df} documents or more")
         return cls([r.term for r in rows], [r.idf for r in rows], low, high)
 
-    def transform(self, df: DataFrame, text_col: str, into: str = "tfidf") -> DataFrame:
+    def transform(self, df: DataFrame, text_col: str, into: str = "tfidf", joined: bool = False) -> DataFrame:
         counted, scaled, terms = f"_{into}_tf", f"_{into}_raw", f"_{into}_terms"
         vectorizer = CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms, outputCol=counted)
         scaler = ElementwiseProduct(scalingVec=Vectors.dense(self.weights), inputCol=counted, outputCol=scaled)
         normalizer = Normalizer(p=2.0, inputCol=scaled, outputCol=into)
-        out = with_terms(df, text_col, self.low, self.high, into=terms)
+        out = with_terms(df, text_col, self.low, self.high, terms, joined)
         for stage in (vectorizer, scaler, normalizer):
             out = stage.transform(out)
         return out.drop(terms, counted, scaled)

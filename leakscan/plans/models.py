@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from leakscan.operators.boosting import BoostedModel, BoostParams, fit_boosted
 from leakscan.operators.metrics import accuracy, class_report, confusion, macro_scores
 from leakscan.operators.sampling import class_weights, stratified_split, with_weight
-from leakscan.plans.features import FeatureConfig, FeatureExtractor, FeatureModel
+from leakscan.plans.features import FeatureConfig, FeatureExtractor, FeatureModel, read_texts
 from leakscan.session import materialise
 
 DEFAULT_TARGETS = {"incident_type": "incident_type", "severity": "severity"}
@@ -142,7 +142,19 @@ def train(
 ) -> LeakModel:
     """Stratified split, feature fit on the training part, both models, accuracy on the held-out part."""
     targets = check_targets(df, targets)
-    training, held_out = split(df, key, targets, test_fraction, seed)
+    marked = stratified_split(df, targets["incident_type"], key, test_fraction, seed)
+    # Every text is read once, into a narrow table: vocabulary, features of the fit and the held-out rows come from that.
+    read = read_texts(marked, config or FeatureConfig(), (*targets.values(), "is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(read.filter(~F.col("is_test")), read.filter("is_test"), targets, config, params)
+    finally:
+        read.unpersist()
+
+
+def _fit(
+    training: DataFrame, held_out: DataFrame, targets: dict[str, str], config: FeatureConfig | None, params: TreeParams
+) -> LeakModel:
+    """Features and both models of training rows, and their accuracy on held-out ones; both as ``read_texts`` gives them."""
     features = FeatureExtractor(config).fit(training)
     columns = list(dict.fromkeys(targets.values()))
     prepared = bounded_parts(features.transform(training).select(*columns, "features"), training)
@@ -150,7 +162,7 @@ def train(
     try:
         train_size = prepared.count()
         # The two fits share the persisted features and nothing else: side by side, unless their rows would crowd out each other's.
-        run = inheritable_thread_target(df.sparkSession)
+        run = inheritable_thread_target(prepared.sparkSession)
         with ThreadPoolExecutor(2 if train_size < FITTED_IN_TURN else 1) as pool:
             kind = pool.submit(run(train_type), prepared, targets["incident_type"], params)
             level = pool.submit(run(train_severity), prepared, targets["severity"], params)
