@@ -143,34 +143,35 @@ def train(
     """Stratified split, feature fit on the training part, both models, accuracy on the held-out part."""
     targets = check_targets(df, targets)
     marked = stratified_split(df, targets["incident_type"], key, test_fraction, seed)
-    # Every text is read once, into a narrow table: vocabulary, features of the fit and the held-out rows come from that.
+    # Every text is read once, into a narrow table: vocabulary and features come from that, and it goes before the trees grow.
     read = read_texts(marked, config or FeatureConfig(), (*targets.values(), "is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = None
     try:
-        return _fit(read.filter(~F.col("is_test")), read.filter("is_test"), targets, config, params)
+        training = read.filter(~F.col("is_test"))
+        features = FeatureExtractor(config).fit(training)
+        columns = list(dict.fromkeys(targets.values()))
+        prepared = bounded_parts(features.transform(read).select(*columns, "is_test", "features"), training)
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+        train_size = prepared.filter(~F.col("is_test")).count()
+        read.unpersist()
+        return _fit(prepared, train_size, features, targets, params)
     finally:
         read.unpersist()
+        if prepared is not None:
+            prepared.unpersist()
 
 
-def _fit(
-    training: DataFrame, held_out: DataFrame, targets: dict[str, str], config: FeatureConfig | None, params: TreeParams
-) -> LeakModel:
-    """Features and both models of training rows, and their accuracy on held-out ones; both as ``read_texts`` gives them."""
-    features = FeatureExtractor(config).fit(training)
-    columns = list(dict.fromkeys(targets.values()))
-    prepared = bounded_parts(features.transform(training).select(*columns, "features"), training)
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train_size = prepared.count()
-        # The two fits share the persisted features and nothing else: side by side, unless their rows would crowd out each other's.
-        run = inheritable_thread_target(prepared.sparkSession)
-        with ThreadPoolExecutor(2 if train_size < FITTED_IN_TURN else 1) as pool:
-            kind = pool.submit(run(train_type), prepared, targets["incident_type"], params)
-            level = pool.submit(run(train_severity), prepared, targets["severity"], params)
-            model = LeakModel(features, kind.result(), level.result(), params=params)
-    finally:
-        prepared.unpersist()
+def _fit(prepared: DataFrame, train_size: int, features: FeatureModel, targets: dict[str, str], params: TreeParams) -> LeakModel:
+    """Both models of the training rows of persisted features, and their accuracy on the rows that ``is_test`` holds out."""
+    training = prepared.filter(~F.col("is_test")).drop("is_test")
+    # The two fits share the persisted features and nothing else: side by side, unless their rows would crowd out each other's.
+    run = inheritable_thread_target(prepared.sparkSession)
+    with ThreadPoolExecutor(2 if train_size < FITTED_IN_TURN else 1) as pool:
+        kind = pool.submit(run(train_type), training, targets["incident_type"], params)
+        level = pool.submit(run(train_severity), training, targets["severity"], params)
+        model = LeakModel(features, kind.result(), level.result(), params=params)
 
-    scored = score(held_out, model)
+    scored = _predict(prepared.filter("is_test"), model)
     hits = {t: F.avg(F.col(PREDICTED[t]).eqNullSafe(F.col(c)).cast("double")).alias(t) for t, c in targets.items()}
     row = scored.agg(F.count(F.lit(1)).alias("n"), *hits.values()).first()
     model.metrics = {
@@ -211,7 +212,12 @@ def log_loss(df: DataFrame, model: LeakModel, targets: dict[str, str] | None = N
 
 def score(df: DataFrame, model: LeakModel, keep_pii: str | None = None) -> DataFrame:
     """Adds predicted class and confidence (largest class probability) of both targets; features are built once."""
-    out = model.features.transform(df, keep_pii=keep_pii)
+    return _predict(model.features.transform(df, keep_pii=keep_pii), model)
+
+
+def _predict(df: DataFrame, model: LeakModel) -> DataFrame:
+    """Adds classes and confidences to a table of features, which go."""
+    out = df
     for target in DEFAULT_TARGETS:
         out = _apply(model.classifier(target), out, target)
         confidence = F.array_max(vector_to_array(f"{target}_probability"))
