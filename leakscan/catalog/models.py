@@ -95,11 +95,12 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests as a stream over files that have arrived in a folder."""
+    """Requests as a stream over files that have arrived in a folder; a batch takes as many as there are cores, four at least."""
     folder = work_path(spark, "arrivals")
     table = requests(spark, sf_dir)
     write_parquet(table, folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    files = max(4, spark.sparkContext.defaultParallelism)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
